@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlight.llm import mixing
+from ledgerlight.llm import mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_mix": mixing.op1_mix,
+    "op2_quality": quality.op2_quality,
+    "op7_simhash": simhash.op7_simhash,
+    "op10_pack": packing.op10_pack,
 }
 ORACLES: dict[str, str] = {}
