@@ -1,4 +1,4 @@
-"""Sparse indicators of a text: n-grams of its words and of their shapes, hashed to 32 bits.
+"""Sparse indicators of a text: n-grams of its words, of their shapes and, if asked for, of their first letters, hashed to 32 bits.
 
 A shape keeps the kinds of characters alone: runs of small letters, of capitals and of digits shrink to one sign each, and
 runs of one other sign to that sign. Texts are taken whole, in batches, with array operations; a worker
@@ -27,20 +27,26 @@ def shape(word: str) -> str:
     return _RUNS[2].sub(r"\1", _RUNS[1].sub("9", letters))
 
 
+#: Lengths of the first letters of a word that make features; shorter words have 0 there.
+HEADS = (5, 7)
+
+
 class Words(dict):
-    """A word's bytes to its place in two arrays of hashes: of the word, A-Z lower-cased, and of its shape."""
+    """A word's bytes to its column in an array of hashes: of the word, A-Z lower-cased, of its shape and of its heads."""
 
     def __init__(self) -> None:
         super().__init__()
         self.room = 1 << 16
-        self.word, self.shape = np.zeros(self.room, np.uint64), np.zeros(self.room, np.uint64)
+        self.hashes = np.zeros((2 + len(HEADS), self.room), np.uint64)
 
     def __missing__(self, raw: bytes) -> int:
         n = len(self)
         if n == self.room:
             self.room *= 2
-            self.word, self.shape = np.resize(self.word, self.room), np.resize(self.shape, self.room)
-        self.word[n], self.shape[n] = crc32(raw.lower()), crc32(shape(raw.decode()).encode(), 7)
+            self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)), 1)
+        word = raw.decode()
+        small = word.lower()
+        self.hashes[:, n] = crc32(raw.lower()), crc32(shape(word).encode(), 7), *(crc32(small[:k].encode(), k) if len(small) > k else 0 for k in HEADS)
         self[raw] = n
         return n
 
@@ -56,7 +62,7 @@ def mixed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
     return x * np.uint64(kind) & np.uint64(MASK)
 
 
-def indicators(texts: list[str | None], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def indicators(texts: list[str | None], wanted: np.ndarray | None = None, heads: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(text's place, feature) pairs, distinct and sorted. ``wanted``: a bitmap of the low bits of features to keep."""
     words = known()
     if len(words) > REMEMBERED:
@@ -65,7 +71,7 @@ def indicators(texts: list[str | None], wanted: np.ndarray | None = None) -> tup
     lengths = np.array([len(w) for w in split], np.int64)
     at = np.fromiter((words[w] for one in split for w in one), np.int64, int(lengths.sum()))
     row = np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
-    word, form = words.word[at], words.shape[at]
+    word, form = words.hashes[0][at], words.hashes[1][at]
     two, three = row[1:] == row[:-1], row[2:] == row[:-2]
     again = two & (word[1:] == word[:-1])
     pairs, forms = mixed(word[:-1], word[1:], DOUBLED), mixed(form[:-1], form[1:], SHAPED)
@@ -77,6 +83,9 @@ def indicators(texts: list[str | None], wanted: np.ndarray | None = None) -> tup
         (row[2:][three], mixed(forms[:-1], form[2:], TRIPLED)[three]) if len(form) > 2 else (row[:0], word[:0]),
         (row[1:][again], np.full(int(again.sum()), REPEATED, np.uint64)),
     ]
+    for k in range(len(HEADS) if heads else 0):
+        head = words.hashes[2 + k][at]
+        parts.append((row[head > 0], head[head > 0]))
     keys = []
     for place, feature in parts:
         if wanted is not None:
@@ -105,9 +114,9 @@ def blocks(texts, size: int = 200_000):
 class Linear:
     """Weights by feature, looked up by a bitmap first."""
 
-    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float, bits: int = 22):
+    def __init__(self, features: np.ndarray, weights: np.ndarray, bias: float, heads: bool = False, bits: int = 22):
         order = np.argsort(features)
-        self.features, self.weights, self.bias, self.bits = features[order], weights[order], bias, bits
+        self.features, self.weights, self.bias, self.heads, self.bits = features[order], weights[order], bias, heads, bits
 
     @property
     def wanted(self) -> np.ndarray:
@@ -116,7 +125,7 @@ class Linear:
         return bitmap
 
     def margins(self, texts: list[str | None], wanted: np.ndarray) -> np.ndarray:
-        row, feature = indicators(texts, wanted)
+        row, feature = indicators(texts, wanted, self.heads)
         if not len(self.features):
             return np.full(len(texts), self.bias)
         at = np.minimum(np.searchsorted(self.features, feature), len(self.features) - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -21,18 +22,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == HELD, F.lit(False))
 
 
-def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def featured(batches: Iterator[pa.RecordBatch], heads: bool) -> Iterator[pa.RecordBatch]:
     """(doc_id, label, text) to (doc_id, label, sorted features as bytes)."""
     for batch in batches:
         found: list[bytes] = []
         for _, texts in blocks(batch.column(2)):
-            row, feature = indicators(texts)
+            row, feature = indicators(texts, heads=heads)
             ends = np.searchsorted(row, np.arange(1, len(texts)))
             found += [part.tobytes() for part in np.split(feature, ends)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.binary())], names=["doc_id", "label", "features"])
 
 
-def training(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
+def training(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX_ROWS, heads: bool = False) -> tuple[np.ndarray, list[np.ndarray]]:
     """Labels and features of at most ``max_rows`` labelled documents that aren't held out, in the order of doc_id.
 
     Rows without doc_id or label are left out; of rows that repeat a doc_id one counts.
@@ -40,7 +41,7 @@ def training(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(featured, "doc_id long, label int, features binary").toArrow().to_pydict()
+    got = rows.mapInArrow(partial(featured, heads=heads), "doc_id long, label int, features binary").toArrow().to_pydict()
     order, seen, y, x = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["label"][i], got["features"][i])), set(), [], []
     for i in order:
         if got["doc_id"][i] not in seen:
