@@ -37,14 +37,13 @@ def cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, w
     for batch in batches:
         rows: list[list] = [[], [], [], [], [], []]
         texts = batch.column(1)
-        for at in range(0, batch.num_rows, 64):
-            for doc, ids in zip(batch.column(0).slice(at, 64).to_pylist(), known.encode(texts.slice(at, 64).to_pylist()), strict=True):
-                ids += last
-                n = len(ids) // 4
-                for start in range(0, n, capacity):
-                    piece = ids[4 * start : 4 * (start + capacity)]
-                    for column, value in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n, piece), strict=True):
-                        column.append(value)
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            ids = known.encode(texts[i].as_py()) + last
+            n = len(ids) // 4
+            for start in range(0, n, capacity):
+                piece = ids[4 * start : 4 * (start + capacity)]
+                for column, value in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None), strict=True):
+                    column.append(value)
         arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.binary())] * with_ids
         yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
 

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from functools import lru_cache
 
 #: Words that one worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Letters that are their own composed form and whose small letter is one letter, then ASCII marks, in UTF-8.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
 
 def word_tokenizer_path() -> str:
@@ -15,12 +19,21 @@ def word_tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_signs() -> str:
+    """The sign that byte-level vocabularies have for each byte: itself if it is visible in Latin-1, else from 256 on."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return "".join(chr(b if b in seen else next(rest)) for b in range(256))
+
+
 class WordIds(dict):
     """Bytes of a word to the bytes of its little-endian unsigned ids.
 
-    For tokenizers that drop white space and never join what it parts: the ids of a text are then those of
-    its runs of other bytes, one after the other. Only ASCII white space splits here, as every such
-    tokenizer counts it as white space; other spaces stay inside a run for the tokenizer itself.
+    For tokenizers that compose and lower-case, drop white space and never join what it parts: the ids of a text
+    are then those of its runs of other bytes, one after the other. Only ASCII white space splits here, as every
+    such tokenizer counts it as white space; other spaces stay inside a run. A run of plain letters, with marks after it or
+    none, goes straight to the tokenizer's merges, as its own splitting would part it there; any other
+    goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, width: int = 4):
@@ -29,42 +42,26 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_file(path), width
+        self.model, self.signs = self.tokenizer.model, str.maketrans(dict(enumerate(byte_signs())))
 
-    def learn(self, words: set[bytes]) -> None:
-        import numpy as np
-
-        new = [w for w in words if w not in self]
-        if not new:
-            return
-        if len(self) + len(new) > REMEMBERED:
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
             self.clear()
-            new = list(words)
-        kind = f"<u{self.width}"
-        for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, kind).tobytes()
-
-    def encode(self, texts: list[str | None], block: int = 200_000) -> list[bytes]:
-        """The ids of each text; null is an empty text."""
-        lists = [(t or "").encode().split() for t in texts]
-        out, start = [], 0
-        while start < len(lists):
-            end, n = start + 1, len(lists[start])
-            while end < len(lists) and n + len(lists[end]) <= block:
-                n += len(lists[end])
-                end += 1
-            if n > block:  # one long text
-                parts = []
-                for i in range(0, n, block):
-                    words = lists[start][i : i + block]
-                    self.learn(set(words))
-                    parts.append(b"".join(map(self.__getitem__, words)))
-                out.append(b"".join(parts))
-            else:
-                self.learn(set().union(*lists[start:end]))
-                out += [b"".join(map(self.__getitem__, words)) for words in lists[start:end]]
-            start = end
+        if (m := PLAIN.fullmatch(word)) is None:
+            ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        elif m[2] and m[1]:
+            out = self[word] = self[m[1]] + self[m[2]]
+            return out
+        else:
+            small = word.lower() if word.isascii() else word.decode().lower().encode()
+            ids = [t.id for t in self.model.tokenize(small.decode("latin-1").translate(self.signs))]
+        out = self[word] = array("I" if self.width == 4 else "H", ids).tobytes()
         return out
 
+    def encode(self, text: str | None) -> bytes:
+        """The ids of a text; null is an empty text."""
+        return b"".join(map(self.__getitem__, (text or "").encode().split()))
+
 
 @lru_cache(1)
 def word_ids(path: str, width: int = 4) -> WordIds:
