@@ -19,6 +19,8 @@ class Ladder:
 
     def __init__(self, bid: bool, tick: int):
         self.sign, self.tick, self.levels, self.heap = -1 if bid else 1, tick, {}, []
+        #: What orders have changed since it was last emptied: (side, price, shares, orders).
+        self.changes: list[tuple[str, int, int, int]] = []
 
     def put(self, price: int) -> list[int]:
         level = self.levels[price] = [0, 0]
@@ -32,18 +34,22 @@ class Ladder:
         level = self.levels.get(price) or self.put(price)
         level[0] += shares
         level[1] += 1
+        self.changes.append(("B" if self.sign < 0 else "S", price, shares, 1))
 
     def remove(self, price: int, shares: int, gone: bool, notes: list[str]) -> None:
         level = self.levels.get(price)
         if level is None:
             notes.append("missing_level")
             return
+        was = tuple(level)
         level[0] -= shares
         level[1] = max(0, level[1] - gone)
         if level[0] < 0:
             notes.append("negative_level_qty")
         if level[0] <= 0:
+            level[:] = 0, 0
             del self.levels[price]
+        self.changes.append(("B" if self.sign < 0 else "S", price, level[0] - was[0], level[1] - was[1]))
 
     def set(self, price: int, size: int, notes: list[str]) -> None:
         if not size:
@@ -144,7 +150,8 @@ CORRUPT = [n for n in NOTES[5:] if n != "zero_share_adds"]
 APPLIED = ("A", "F", "E", "C", "X", "D", "U", "P", "Q")
 EVENTS = (
     "seq bigint, ts_ns bigint, msg_type string, bid bigint, bid_shares bigint, bid_orders bigint, ask bigint, ask_shares bigint, ask_orders bigint,"
-    " print_price bigint, print_shares bigint, hidden boolean, live_orders bigint, bid_levels bigint, ask_levels bigint, notes array<string>"
+    " print_price bigint, print_shares bigint, hidden boolean, live_orders bigint, bid_levels bigint, ask_levels bigint, notes array<string>,"
+    " changes array<struct<side:string,price:bigint,shares:bigint,orders:bigint>>"
 )
 
 
@@ -163,16 +170,32 @@ def order_book_events(messages: DataFrame, keys: list[str], tick: int = 100) ->
             seq, ts, kind, *rest = row[len(keys) :]
             price, shares, hidden, notes = book.apply(kind, *rest)
             bid, ask = bids.best(), asks.best()
-            return (seq, ts, kind, bid, *(bids.levels[bid] if bid is not None else (None, None)), ask, *(asks.levels[ask] if ask is not None else (None, None)), price, shares, hidden, len(book.orders), len(bids.levels), len(asks.levels), notes)
+            changes = [dict(zip(("side", "price", "shares", "orders"), c, strict=True)) for c in (*bids.changes, *asks.changes)]
+            bids.changes.clear(), asks.changes.clear()
+            return (seq, ts, kind, bid, *(bids.levels[bid] if bid is not None else (None, None)), ask, *(asks.levels[ask] if ask is not None else (None, None)), price, shares, hidden, len(book.orders), len(bids.levels), len(asks.levels), notes, changes)
 
         return step
 
     return ordered_fold(messages.where(F.col("msg_type").isin(*APPLIED)).select(*keys, *columns), keys, ["seq"], start, EVENTS)
 
 
+def order_levels(events: DataFrame, keys: list[str], n: int | None = None) -> DataFrame:
+    """The levels that are left after all events, best first: side, price, shares, orders, level from 1."""
+    one = events.select(*keys, F.explode("changes").alias("c")).groupBy(*keys, F.col("c.side").alias("side"), F.col("c.price").alias("price"))
+    left = one.agg(F.sum("c.shares").alias("shares"), F.sum("c.orders").alias("orders")).where("shares > 0")
+    better = Window.partitionBy(*keys, "side").orderBy(F.when(F.col("side") == "B", -F.col("price")).otherwise(F.col("price")))
+    ranked = left.withColumn("level", F.row_number().over(better))
+    return ranked.where(F.col("level") <= n) if n else ranked
+
+
+def counter(note: str) -> Column:
+    """How often a note was taken."""
+    return F.coalesce(F.sum(F.size(F.filter("notes", lambda x: x == note))), F.lit(0)).cast("bigint").alias(note)
+
+
 def diagnostics(events: DataFrame, keys: list[str]) -> DataFrame:
     """The counters of each key, the corruption total, and the last state."""
-    counted = [F.coalesce(F.sum(F.size(F.filter("notes", lambda x, n=n: x == n))), F.lit(0)).cast("bigint").alias(n) for n in NOTES]
+    counted = [counter(n) for n in NOTES]
     last = [F.max_by(c, "seq").alias(c) for c in ("live_orders", "bid_levels", "ask_levels")]
     return events.groupBy(*keys).agg(*counted, *last).withColumn("corruption", sum((F.col(c) for c in CORRUPT[1:]), F.col(CORRUPT[0])))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlight.operators.books import level_book, sound_price, whole
+from ledgerlight.operators.books import counter, level_book, sound_price, whole
 
 FEATURES = (
     "ts_ns bigint, symbol string, bid bigint, bid_shares bigint, ask bigint, ask_shares bigint, spread bigint, bid_depth bigint, ask_depth bigint,"
@@ -114,8 +114,7 @@ def feature_table(messages: DataFrame, keys: list[str], sample_ns: int = SECOND,
 def symbol_summary(messages: DataFrame, keys: list[str], tick: int = 100) -> DataFrame:
     """Counts of each key: updates, transactions, in-transition updates, crossed transactions, bad prices, trades."""
     book = level_book(messages.where("kind = 'level'"), keys, tick)
-    count = lambda n: F.coalesce(F.sum(F.size(F.filter("notes", lambda x: x == n))), F.lit(0)).cast("bigint").alias(n)
-    noted = book.groupBy(*keys).agg(*[count(n) for n in ("updates", "transactions", "in_transition", "crossed", "bad_price", "absent_clear", "unrepresentable")])
+    noted = book.groupBy(*keys).agg(*[counter(n) for n in ("updates", "transactions", "in_transition", "crossed", "bad_price", "absent_clear", "unrepresentable")])
     trades = messages.where("kind = 'trade'").groupBy(*keys).agg(F.count_if(sound_price(F.col("price"))).alias("trades"))
     return noted.join(trades, keys, "full_outer").na.fill(0)
 
