@@ -44,10 +44,8 @@ def finite(*columns: str) -> Column:
 
 
 def correlation(x: str, y: str) -> Column:
-    """Pearson's; null where either doesn't vary, which the built-in would turn into a division by zero."""
-    a, b = F.col(x), F.col(y)
-    vary = (F.max(a) > F.min(a)) & (F.max(b) > F.min(b))
-    return F.when(vary, F.corr(F.when(finite(x), a), b))
+    """Pearson's; null where either doesn't vary. The built-in divides by zero there, also inside a condition, as aggregates come first."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
