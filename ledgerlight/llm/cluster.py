@@ -44,6 +44,11 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """The rows as one column ``row``, so that no name of theirs meets those that an operator adds; ``row.*`` unwraps them."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
 #: Parts into which a group is dealt for ranking; a group's share of one task falls by this factor.
 SALTS = 256
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.cluster import Workspace
+from ledgerlight.llm.cluster import Workspace, wrapped
 
 MIN_SITES = 6
 #: Registers of a sketch, as a power of two; its relative standard error is 1.04 / sqrt(registers).
@@ -70,25 +70,30 @@ def removals(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = REGIS
     return lines.join(bad, "line").where(later).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("pos")).alias("gone"))
 
 
-def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = REGISTERS) -> DataFrame:
-    """The documents with ``text`` cleaned, and _lines and _removed, their lines before and those gone.
+def rebuilt(docs: DataFrame, min_sites: int, registers: int) -> DataFrame:
+    """(row, text, n_lines, n_removed): each document, its text cleaned, its lines before and those gone.
 
     Between each two removed lines the rest is taken as one slice.
     """
-    gone = removals(docs, min_sites, registers).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "gone")
-    joined = docs.withColumn("_own", F.xxhash64("text"))
-    joined = joined.join(gone, joined.doc_id.eqNullSafe(gone["_id"]) & (joined["_own"] == gone["_hash"]), "left")
-    parts = joined.withColumn("_split", split_lines(F.col("text")))
-    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("_split")))
-    slices = F.transform(F.sequence(F.lit(2), F.size("gone") + 2), lambda k: F.slice(F.col("_split"), F.element_at(ends, k - 1) + 2, F.element_at(ends, k) - F.element_at(ends, k - 1) - 1))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(slices), "\n"))
-    counts = F.size("_split").cast("long").alias("_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("_removed")
-    return parts.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], *counts)
+    gone = removals(docs, min_sites, registers)
+    text = F.col("row.text")
+    joined = wrapped(docs).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(text) == F.col("text_hash")), "left").withColumn("split", split_lines(text))
+    ends = F.concat(F.array(F.lit(-1)), F.col("gone"), F.array(F.size("split")))
+    slices = F.transform(F.sequence(F.lit(2), F.size("gone") + 2), lambda k: F.slice(F.col("split"), F.element_at(ends, k - 1) + 2, F.element_at(ends, k) - F.element_at(ends, k - 1) - 1))
+    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.flatten(slices), "\n"))
+    counts = [F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long").alias(n) for c, n in (("split", "n_lines"), ("gone", "n_removed"))]
+    return joined.select("row", kept.alias("text"), *counts)
 
 
 def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = REGISTERS) -> DataFrame:
     """The documents without boilerplate lines; same columns."""
-    return cleaned(docs, min_sites, registers).select(*docs.columns)
+    out = rebuilt(docs, min_sites, registers)
+    return out.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
+
+
+def cleaned(docs: DataFrame, min_sites: int = MIN_SITES, registers: int = REGISTERS) -> DataFrame:
+    """doc_id, text, n_lines, n_removed: every document's text without boilerplate, its lines before and those gone."""
+    return rebuilt(docs, min_sites, registers).select("row.doc_id", "text", "n_lines", "n_removed")
 
 
 def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -100,9 +105,7 @@ def recounted(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 def op9_lines(spark, sf_dir: str) -> DataFrame:
     """All documents without the lines found on six sources or more, but for the first document of each."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    out = cleaned(docs)
-    return out.select("doc_id", "text", F.greatest("_lines", F.lit(0)).cast("long").alias("n_lines"), F.greatest("_removed", F.lit(0)).cast("long").alias("n_removed"))
+    return cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text"))
 
 
 SQL = """

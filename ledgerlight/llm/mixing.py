@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlight.llm.cluster import Workspace, running_total
+from ledgerlight.llm.cluster import Workspace, running_total, wrapped
 
 #: A word is a run of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -151,9 +151,9 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies: int
     Documents without a word are taken once.
     """
     sized = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
-    plan = mix_sizes(sized, weights, max_copies).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies")).where("_copies > 0")
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (words(F.col("text")) == F.col("_size"))
-    return docs.join(plan, on).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    plan = mix_sizes(sized, weights, max_copies).where("copies > 0").select("doc_id", "source", "size", "copies")
+    on = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source")) & (words(F.col("row.text")) == F.col("size"))
+    return wrapped(docs).join(plan, on).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mix(spark, sf_dir: str) -> DataFrame:

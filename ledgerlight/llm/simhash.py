@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.cluster import Workspace
+from ledgerlight.llm.cluster import Workspace, wrapped
 from ledgerlight.llm.components import components
 
 SEED = 42
@@ -145,6 +145,8 @@ def compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 
 def links(work: Workspace, nodes: DataFrame, bits: int) -> DataFrame:
     """Edges (u, v) that join the same components as all pairs of ``nodes`` (fp, distinct) within ``bits``."""
+    if not 0 <= bits <= POSITIONS - 4:
+        raise ValueError("pairs of more than four differing bits may share fewer than four bytes")
     byte = [F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255)) for p in range(POSITIONS)]
     keys = [F.lit(t << 24).cast("long") + byte[a] * 65536 + byte[b] * 256 + byte[c] for t, (a, b, c) in enumerate(TRIPLES)]
     postings = work.table(nodes.select("fp", F.explode(F.array(*keys)).alias("list")), "postings")
@@ -181,14 +183,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
 
 
 def deduplicated(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
-    """One document of each component, that of the least (doc_id, hash of its text); same columns."""
+    """One document of each component, that of the least (doc_id, hash of its text), null ids last; same columns."""
     found = grouped(docs, width, bits, ("doc_id", "text_hash"))
     group = F.coalesce("component_id", F.lit(-1)), F.when(F.col("component_id").isNull(), F.col("fp"))
-    first = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-    kept = first.select(F.col("one.doc_id").alias("_id"), F.col("one.text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_own", F.xxhash64("text"))
-    same = hashed.doc_id.eqNullSafe(kept["_id"]) & (hashed["_own"] == kept["_hash"])
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+    first = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
+    kept = first.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).distinct()
+    hashed = wrapped(docs).withColumns({"own_id": F.col("row.doc_id"), "own_hash": F.xxhash64("row.text")})
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
