@@ -1,4 +1,4 @@
-"""Command line: ``replay`` an order feed, ``fetch`` features from a capture, ``research``, ``brief`` or ``daily`` over a store."""
+"""Command line: ``generate`` or ``replay`` an order feed, ``fetch`` features from a capture, ``research``, ``brief`` or ``daily`` over a store."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerlight.operators import books, panel, tape
 from ledgerlight.plans import brief, walk
 from ledgerlight.session import session
-from ledgerlight.sources import deep, itch, tables
+from ledgerlight.sources import deep, itch, synthetic, tables
 
 
 def replay(spark, a) -> int:
@@ -33,6 +33,11 @@ def replay(spark, a) -> int:
     return int(bad)
 
 
+def generate(a) -> int:
+    print(f"{synthetic.write(a.out, a.truth, a.messages, symbols=a.symbols, seed=a.seed, symbol=a.symbol, price=a.price)} messages")
+    return 0
+
+
 def fetch(spark, a) -> int:
     """Features of a capture; 1 if the capture has defects, 2 if it can't be read. Nothing is downloaded."""
     try:
@@ -74,6 +79,14 @@ def main(argv: list[str] | None = None) -> int:
     f.add_argument("--sample-ms", type=int, default=1000)
     f.add_argument("--tick", type=int, default=100)
     f.add_argument("--max-packets", type=int, default=0)
+    g = sub.add_parser("generate")
+    g.add_argument("--out", required=True)
+    g.add_argument("--truth")
+    g.add_argument("--messages", type=int, default=100_000)
+    g.add_argument("--symbols", type=int, choices=range(1, 9), default=3)
+    g.add_argument("--symbol", default="SYN")
+    g.add_argument("--price", type=int, default=1_000_000)
+    g.add_argument("--seed", type=int, default=1)
     for name in ("research", "brief", "daily"):
         s = sub.add_parser(name)
         s.add_argument("--data", required=True)
@@ -84,6 +97,8 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument("--cost", type=float, default=0.5)
         s.add_argument("--rescore", action="store_true")
     a = p.parse_args(argv)
+    if a.command == "generate":
+        return generate(a)
     spark = session(a.master)
     if a.command in ("replay", "fetch"):
         return {"replay": replay, "fetch": fetch}[a.command](spark, a)

@@ -1,27 +1,13 @@
 """Feeds made for tests, and a plain book to hold the fold against."""
 
 import random
-import struct
 
-from ledgerlight.sources import itch
-
-
-def message(kind, ts=0, locate=1, **values):
-    """Bytes of an order-feed message."""
-    out = bytearray(kind.encode() + struct.pack(">HH", locate, 0) + ts.to_bytes(6, "big") + b" " * (itch.LENGTHS[kind] - 11))
-    for name, how, offset, width in itch.FIELDS[kind]:
-        value = values.get(name)
-        if how == "u":
-            out[offset : offset + width] = (value or 0).to_bytes(width, "big")
-        elif how == "y":
-            out[offset : offset + 1] = b"Y" if value else b"N"
-        else:
-            out[offset : offset + width] = (value or "").encode().ljust(width)
-    return bytes(out)
+from ledgerlight.sources import synthetic
+from ledgerlight.sources.synthetic import message  # noqa: F401
 
 
 def framed(messages):
-    return b"".join(struct.pack(">H", len(m)) + m for m in messages)
+    return b"".join(synthetic.framed(m) for m in messages)
 
 
 def random_orders(n, seed, replaces=True):
