@@ -1,23 +1,23 @@
 """Token ids in training order: fixed-stride binary shards.
 
-Texts become ids and an end id, cut into sequences of at most ``length`` ids. The sequences are written once to the
-shared folder, numbered by task and row, and the counts of the tasks turn that into numbers from 0 to n - 1. A
-keyed Feistel network permutes the numbers: it is a bijection on the next power of two, and whatever falls outside is sent through
-again until it falls inside (cycle-walking). The permuted number is the sequence's slot. Slots are dealt by
-ranges to shards; a task writes a shard's records in order to a file of its own and then renames it,
-so a lost or repeated task leaves whole files only. A record is at ``row * stride`` of its shard,
-so a reader may start at any slot and needs nothing but the last slot it read.
-
-A record: doc_id (8 bytes, signed; -1 for null), start in the document's ids (4), length (4), then ``length`` ids, filled up by zeros.
-All numbers are little-endian.
-
-Defined cases: a null or empty text is the end id alone; repeated rows are sequences each; an empty table writes no shard; other columns are ignored.
+Texts become ids and an end id, and the ids of a task's documents, one after the other, are cut into sequences of
+``length`` ids; only a task's last one may be shorter. The sequences are written once to the shared folder, numbered
+by task and row, and the counts of the tasks turn that into numbers from 0 to n - 1. A keyed Feistel network permutes the
+numbers: it is a bijection on the next power of two, and whatever falls outside is sent through again until it falls
+inside (cycle-walking). The permuted number is the sequence's slot. Slots are dealt by ranges to shards, one a
+task; the task writes its records in order to a file of its own and then renames it, so a lost or repeated task
+leaves whole files only. A record is at ``row * stride`` of its shard, so a reader may start at any slot and needs
+nothing but the last slot it read.
+
+A record is its ids, little-endian, filled up by zeros. Which documents a sequence holds is in the table that comes with the shards: ``docs``, a
+list of (doc_id, start in the document's ids, length).
+
+Defined cases: a null or empty text is the end id alone; repeated rows come each; an empty table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
-import struct
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 from functools import partial
@@ -32,8 +32,7 @@ from pyspark.sql import functions as F
 from ledgerlight.llm.cluster import Workspace
 from ledgerlight.llm.tokens import word_ids, word_tokenizer_path
 
-LENGTH, END, KEY = 256, 2, 20240229
-HEAD = 16
+LENGTH, END, KEY = 2048, 2, 20240229
 SHARD_BYTES = 64 << 20
 ROUNDS = 6
 
@@ -75,7 +74,7 @@ class Manifest:
 
     @property
     def stride(self) -> int:
-        return HEAD + self.length * self.width
+        return self.length * self.width
 
     @property
     def shards(self) -> int:
@@ -85,23 +84,41 @@ class Manifest:
         return f"{self.root}/shard-{shard:06d}.bin"
 
 
+PLACES = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int32())]))
+SEQUENCES = "length int, docs array<struct<doc_id:bigint,start:bigint,length:int>>, ids binary"
+
+
 def sequences(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) to numbered sequences."""
-    known, last, task, row = word_ids(path, width), end.to_bytes(width, "little"), TaskContext.get().partitionId(), 0
+    known, last, task, number = word_ids(path, width), end.to_bytes(width, "little"), TaskContext.get().partitionId(), 0
+    size, parts, places, have = length * width, [], [], 0
+    rows: list[tuple[int, list, bytes]] = []
+
+    def flush() -> pa.RecordBatch:
+        nonlocal number, rows
+        out, n, rows = rows, len(rows), []
+        number += n
+        columns = [pa.array(np.full(n, task, np.int32)), pa.array(np.arange(number - n, number)), pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], PLACES), pa.array([r[2] for r in out], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["task", "row", "length", "docs", "ids"])
+
     for batch in batches:
         texts = batch.column(1)
-        for at in range(0, batch.num_rows, 256):
-            out: list[list] = [[], [], [], []]
-            for i, doc in enumerate(batch.column(0).slice(at, 256).to_pylist(), at):
-                ids = known.encode(texts[i].as_py()) + last
-                for start in range(0, len(ids), length * width):
-                    piece = ids[start : start + length * width]
-                    for column, value in zip(out, (doc, start // width, len(piece) // width, piece), strict=True):
-                        column.append(value)
-            n = len(out[0])
-            arrays = [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(n, task, np.int32)), pa.array(np.arange(row, row + n, dtype=np.int64)), *arrays], names=["task", "row", "doc_id", "start", "length", "ids"])
-            row += n
+        for i, doc in enumerate(batch.column(0).to_pylist()):
+            ids, at = known.encode(texts[i].as_py()) + last, 0
+            while at < len(ids):
+                part = ids[at : at + size - have]
+                parts.append(part)
+                places.append({"doc_id": doc, "start": at // width, "length": len(part) // width})
+                at, have = at + len(part), have + len(part)
+                if have == size:
+                    rows.append((length, places, b"".join(parts)))
+                    parts, places, have = [], [], 0
+            if len(rows) >= 256:
+                yield flush()
+    if have:
+        rows.append((have // width, places, b"".join(parts)))
+    if rows:
+        yield flush()
 
 
 def slotted(batches: Iterator[pa.RecordBatch], first: dict[int, int], n: int, key: int) -> Iterator[pa.RecordBatch]:
@@ -113,7 +130,7 @@ def slotted(batches: Iterator[pa.RecordBatch], first: dict[int, int], n: int, ke
         yield pa.RecordBatch.from_arrays([pa.array(slots(number, n, key)), *batch.columns[2:]], names=["slot", *batch.schema.names[2:]])
 
 
-WRITTEN = "slot long, shard int, row long, doc_id long, start int, length int, record_crc32 long"
+WRITTEN = "slot long, shard int, row long, length int, docs array<struct<doc_id:bigint,start:bigint,length:int>>, record_crc32 long"
 
 
 def write(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordBatch]:
@@ -128,21 +145,19 @@ def write(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordB
             out.close()
             store.move(f"{folder}/.shard-{shard:06d}.{attempt}", f"{folder}/shard-{shard:06d}.bin")
 
-    body = m.length * m.width
     for batch in batches:
-        slot = batch.column("slot").to_numpy()
-        doc, start, length, ids = (batch.column(c).to_pylist() for c in ("doc_id", "start", "length", "ids"))
+        slot, ids = batch.column("slot").to_numpy(), batch.column("ids")
         at, sums = slot // m.rows, []
         for i in range(batch.num_rows):
             if at[i] != shard:
                 finish()
                 shard = int(at[i])
                 out = store.open_output_stream(f"{folder}/.shard-{shard:06d}.{attempt}")
-            record = struct.pack("<qII", -1 if doc[i] is None else doc[i], start[i], length[i]) + ids[i].ljust(body, b"\0")
+            record = ids[i].as_py().ljust(m.stride, b"\0")
             out.write(record)
             sums.append(crc32(record))
-        arrays = [pa.array(slot), pa.array(at.astype(np.int32)), pa.array(slot % m.rows), *(batch.column(c) for c in ("doc_id", "start", "length")), pa.array(sums, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=[c.split()[0] for c in WRITTEN.split(", ")])
+        arrays = [pa.array(slot), pa.array(at.astype(np.int32)), pa.array(slot % m.rows), batch.column("length"), batch.column("docs"), pa.array(sums, pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["slot", "shard", "row", "length", "docs", "record_crc32"])
     finish()
 
 
@@ -151,25 +166,26 @@ def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LEN
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
     cutter = partial(sequences, path=tokenizer or word_tokenizer_path(), end=end, length=length, width=width)
-    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, "task int, row long, doc_id long, start int, length int, ids binary"), "sequences")
+    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences")
     counts = sorted((r.task, r.n) for r in staged.groupBy("task").agg(F.count("*").alias("n")).collect())
     n, first = 0, {}
     for task, rows in counts:
         first[task] = n
         n += rows
-    m = Manifest(root or f"{work.root}/files", n, length, width, key, max(1, shard_bytes // (HEAD + length * width)))
+    m = Manifest(root or f"{work.root}/files", n, length, width, key, max(1, shard_bytes // (length * width)))
     path = work._path(f"{m.root}/manifest.json")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     stream = store.create(path, True)
     stream.write(bytearray(json.dumps(asdict(m)).encode()))
     stream.close()
-    placed = staged.mapInArrow(partial(slotted, first=first, n=n, key=key), "slot long, doc_id long, start int, length int, ids binary")
-    dealt = placed.withColumn("shard", F.floor(F.col("slot") / m.rows)).repartition(max(1, m.shards), "shard").sortWithinPartitions("slot").drop("shard")
+    placed = staged.mapInArrow(partial(slotted, first=first, n=n, key=key), f"slot long, {SEQUENCES}")
+    shard = F.call_function("div", F.col("slot"), F.lit(m.rows)).cast("int")
+    dealt = placed.repartitionById(max(1, m.shards), shard).sortWithinPartitions("slot")
     return m, work.table(dealt.mapInArrow(partial(write, m=m), WRITTEN), "written")
 
 
-def read(m: Manifest, slot: int = 0, count: int | None = None) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """(slot, doc_id, start, ids) in training order from ``slot`` on, seeking to it; a shard is read as a stream."""
+def read(m: Manifest, slot: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(slot, ids) in training order from ``slot`` on, seeking to it; a shard is read as a stream."""
     from pyarrow.fs import FileSystem
 
     store, folder = FileSystem.from_uri(m.root)
@@ -179,12 +195,10 @@ def read(m: Manifest, slot: int = 0, count: int | None = None) -> Iterator[tuple
         with store.open_input_file(f"{folder}/shard-{shard:06d}.bin") as file:
             file.seek(row * m.stride)
             for slot in range(slot, min(stop, (shard + 1) * m.rows)):
-                record = file.read(m.stride)
-                doc, start, length = struct.unpack_from("<qII", record)
-                yield slot, doc, start, np.frombuffer(record, f"<u{m.width}", length, HEAD)
+                yield slot, np.frombuffer(file.read(m.stride), f"<u{m.width}")
         slot += 1
 
 
 def op5_shards(spark, sf_dir: str) -> DataFrame:
-    """All documents as sequences of up to 256 ids, written in training order; a row per record."""
+    """All documents as sequences of 2048 ids, written in training order; a row per record."""
     return materialise(spark.read.parquet(f"{sf_dir}/documents.parquet"))[1]
