@@ -97,6 +97,46 @@ def wire_roundtrip(spark, sf):
     return itch.decode(framed).select("seq", "price", "shares", "order_ref", "side", "stock", "ts_ns", "frame_len")
 
 
+@query(f"""WITH {views.BASE_SQL} SELECT seq, CASE event_type WHEN 'view' THEN 'E' WHEN 'click' THEN 'U' WHEN 'purchase' THEN 'C' WHEN 'error' THEN 'P' ELSE 'Q' END AS msg_type,
+CASE WHEN event_type <> 'signup' THEN seq END AS order_ref, CASE WHEN event_type = 'click' THEN seq * 3 END AS new_order_ref, k AS shares, CASE WHEN event_type IN ('click', 'error', 'signup') THEN price4 END AS price,
+CASE WHEN event_type = 'purchase' THEN price4 END AS exec_price, CASE WHEN event_type = 'purchase' THEN k % 2 = 0 END AS printable, CASE WHEN event_type <> 'click' THEN seq * 1000003 END AS match_number, CASE WHEN event_type IN ('error', 'signup') THEN symbol END AS stock FROM base""")
+def order_messages_roundtrip(spark, sf):
+    b = views.base(spark, sf)
+    values = {"order_ref": F.col("seq"), "new_order_ref": F.col("seq") * 3, "shares": F.col("k"), "price": F.col("price4"), "exec_price": F.col("price4"), "printable": F.col("k") % 2 == 0, "match_number": F.col("seq") * 1000003, "stock": F.col("symbol")}
+    kinds = {"view": "E", "click": "U", "purchase": "C", "error": "P", "signup": "Q"}
+    body = None
+    for event, kind in kinds.items():
+        test, made = F.col("event_type") == event, itch.encode(kind, values, prefix=False)
+        body = F.when(test, made) if body is None else body.when(test, made)
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("event_type")]
+    raw = b.select(F.lit("f").alias("file"), "seq", kind.alias("msg_type"), body.alias("body"), F.lit(None).cast("string").alias("defect"))
+    return itch.decode(raw).select("seq", "msg_type", "order_ref", "new_order_ref", "shares", "price", "exec_price", "printable", "match_number", "stock")
+
+
+@query(f"""WITH {views.BASE_SQL}, f AS (SELECT symbol AS file, k, CASE WHEN k % 50 = 0 THEN 'unknown_type' WHEN k % 50 = 1 THEN 'length_mismatch' WHEN k % 50 = 2 THEN 'truncated_tail' WHEN k % 50 = 3 THEN 'framing_error' END AS defect, k % 50 NOT IN (2, 3) AS whole FROM base)
+SELECT file, CAST(count(*) FILTER (WHERE whole) AS BIGINT) AS messages, CAST(sum(CASE WHEN whole THEN k ELSE 0 END) AS BIGINT) AS bytes, CAST(count(*) FILTER (WHERE defect = 'unknown_type') AS BIGINT) AS unknown_type, CAST(count(*) FILTER (WHERE defect = 'framing_error') AS BIGINT) AS framing_errors,
+CAST(count(*) FILTER (WHERE defect = 'length_mismatch') AS BIGINT) AS length_mismatch, CAST(sum(CASE WHEN defect = 'truncated_tail' THEN k ELSE 0 END) AS BIGINT) AS truncated_tail FROM f GROUP BY file""")
+def frame_stats(spark, sf):
+    b, m = views.base(spark, sf), F.col("k") % 50
+    defect = F.when(m == 0, "unknown_type").when(m == 1, "length_mismatch").when(m == 2, "truncated_tail").when(m == 3, "framing_error")
+    rows = b.select(F.col("symbol").alias("file"), "seq", F.lit("A").alias("msg_type"), F.col("k").cast("int").alias("frame_len"), F.when(~m.isin(2, 3), F.lit(b"x")).alias("body"), defect.alias("defect"))
+    return itch.parse_stats(rows)
+
+
+@query(f"""WITH {E} SELECT seq, CASE kind WHEN 'trade' THEN 'T' WHEN 'status' THEN 'H' ELSE 'X' END AS msg_type, symbol, CASE WHEN kind = 'trade' THEN size END AS size, CASE WHEN kind <> 'status' THEN price END AS price, CASE WHEN kind = 'trade' THEN iso END AS iso,
+CASE WHEN kind = 'trade' THEN odd_lot END AS odd_lot, CASE WHEN kind = 'trade' THEN seq * 7 END AS trade_id, status, CASE WHEN kind = 'event' THEN 'M' END AS price_type FROM depth WHERE kind <> 'level'""")
+def depth_messages_roundtrip(spark, sf):
+    d, k = views.depth(spark, sf).where("kind <> 'level'"), F.col("kind")
+    flags = F.when(F.col("iso"), 0x80).otherwise(0) + F.when(F.col("odd_lot"), 0x20).otherwise(0)
+    head = [wire.put_little(F.col("ts_ns"), 8), wire.put_letters(F.col("symbol"), 8)]
+    trade = F.concat(F.lit(b"T"), wire.put_big(flags, 1), *head, wire.put_little(F.col("size"), 4), wire.put_little(F.col("price"), 8), wire.put_little(F.col("seq") * 7, 8))
+    state = F.concat(F.lit(b"H"), wire.put_letters(F.col("status"), 1), *head, wire.put_letters(F.lit("NA"), 4))
+    official = F.concat(F.lit(b"XM"), *head, wire.put_little(F.col("price"), 8))
+    kind = F.when(k == "trade", "T").when(k == "status", "H").otherwise("X")
+    raw = d.select(F.lit("f").alias("file"), F.lit(1).cast("bigint").alias("packet_no"), "seq", kind.alias("msg_type"), F.when(k == "trade", trade).when(k == "status", state).otherwise(official).alias("body"), F.lit(None).cast("string").alias("defect"))
+    return deep.decode(raw).select("seq", "msg_type", "symbol", "size", "price", "iso", "odd_lot", "trade_id", "status", "price_type")
+
+
 @query(f"""WITH {E} SELECT seq, side, size, price - 5000000 AS price, complete, symbol, ts_ns FROM depth WHERE kind = 'level'""")
 def depth_roundtrip(spark, sf):
     d = views.depth(spark, sf).where("kind = 'level'")
@@ -153,6 +193,22 @@ def l2_symbol_summary(spark, sf):
     return tape.symbol_summary(views.depth(spark, sf), BY, TICK).select("symbol", "updates", "transactions", "in_transition", "bad_price", "crossed", "trades")
 
 
+@query(ORACLES["l2_stable_top"])
+def stream_stable_top(spark, sf):
+    """The same as a stream of the events' file, in one trigger, with the book in the state store."""
+    from uuid import uuid4
+
+    from ledgerlight.streaming import books as streams
+
+    streams.prepare(spark)
+    name, schema = f"tops_{uuid4().hex}", spark.read.parquet(f"{sf}/events.parquet").schema
+    updates = views.depth_of(spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)).where("kind = 'level'")
+    run = streams.stream_level_book(updates, TICK).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    tops = spark.table(name).where("complete")
+    return tops.select("symbol", "seq", "ts_ns", "bid", "bid_shares", "ask", "ask_shares", "bid_levels", "ask_levels", F.coalesce(F.col("bid") > F.col("ask"), F.lit(False)).alias("crossed"))
+
+
 # Tape
 
 MERGED = f"""{views.TOPS_SQL}, merged AS (
@@ -399,10 +455,34 @@ def min_rows(spark, sf):
     return panel.enough_rows(rows, ["symbol", "part"], 140).select("symbol", "seq", "ts")
 
 
-@query()
+def imbalance_sql(a: str, b: str) -> str:
+    return f"CASE WHEN {a} + {b} > 0 THEN ({a} - {b}) / ({a} + {b}) ELSE 0 END"
+
+
+PANEL = f"""{LOGS}, scaled AS (
+  SELECT *, buy_shares - sell_shares AS signed, CASE WHEN count(*) OVER ({W} ROWS 299 PRECEDING) >= 30 THEN avg(abs(buy_shares - sell_shares)) OVER ({W} ROWS 299 PRECEDING) END AS scale,
+    spread / (mid_x2 / 2.0) * 10000.0 AS spread_bps, coalesce(ts - lag(ts) OVER ({W}), 0) / 1e9 AS gap_s,
+    coalesce(CASE WHEN count(ret_1) OVER ({W} ROWS 29 PRECEDING) >= 10 THEN stddev_samp(ret_1) OVER ({W} ROWS 29 PRECEDING) END, 0) AS vol_30 FROM rets
+), feats AS (
+  SELECT date, symbol, ts, seq, mid_x2, bid_shares, ask_shares, spread_bps, gap_s, {imbalance_sql("bid_shares", "ask_shares")} AS queue_imbalance, {imbalance_sql("bid_depth", "ask_depth")} AS depth_imbalance,
+    {imbalance_sql("buy_shares", "sell_shares")} AS flow_imbalance, CASE WHEN scale > 0 THEN greatest(least(signed / scale, 10), -10) ELSE 0 END AS signed_flow_norm, spread / 100.0 AS spread_ticks,
+    CAST(trades AS DOUBLE) AS trade_intensity, ret_1, ret_5, ret_30, vol_30, least(greatest((bid_depth + ask_depth) / (bid_shares + ask_shares), 0), 100) AS depth_ratio FROM scaled
+), trail AS (
+  SELECT *, CASE WHEN count(*) OVER ({W} ROWS UNBOUNDED PRECEDING) >= 30 THEN median(spread_bps) OVER ({W} ROWS UNBOUNDED PRECEDING) END AS med, {", ".join(f"count({c}) OVER w AS n_{c}, avg({c}) OVER w AS m_{c}, stddev_samp({c}) OVER w AS s_{c}" for c in panel.FEATURES)}
+  FROM feats WINDOW w AS ({W} ROWS 199 PRECEDING)
+), kept AS (
+  SELECT * FROM trail WHERE spread_bps > 0 AND spread_bps <= least(8.0, 1.2 * coalesce(med, 8.0)) AND gap_s <= 30 AND bid_shares >= 150 AND ask_shares >= 150
+), ahead AS (
+  SELECT *, min({{'ts': ts, 'seq': seq, 'mid_x2': mid_x2}}) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 30000000000 FOLLOWING AND 50000000000 FOLLOWING) AS nxt FROM kept
+), scores AS (
+  SELECT date, symbol, seq, {", ".join(f"round(CASE WHEN n_{c} >= 50 THEN CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END END, 4) AS {c}" for c in panel.FEATURES)}, round(spread_bps, 4) AS spread_bps, round(ln(nxt.mid_x2 / mid_x2) * 10000, 4) AS fwd_bps FROM ahead
+)"""
+
+
+@query(f"WITH {PANEL} SELECT * FROM scores WHERE {' AND '.join(f'{c} IS NOT NULL' for c in [*panel.FEATURES, 'fwd_bps'])}")
 def panel_rows(spark, sf):
     out = panel.build_panel(views.quotes(spark, sf), CFG)
-    return out.select("date", "symbol", "seq", *[r6(F.col(c)).alias(c) for c in [*panel.FEATURES, "spread_bps", "fwd_bps"]])
+    return out.select("date", "symbol", "seq", *[F.round(F.col(c), 4).alias(c) for c in [*panel.FEATURES, "spread_bps", "fwd_bps"]])
 
 
 # Model and scores

@@ -15,7 +15,10 @@ HOUR = 3600
 
 
 def base(spark: SparkSession, sf: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf}/events.parquet")
+    return base_of(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def base_of(events: DataFrame) -> DataFrame:
     cents = F.round(F.col("value") * 10000).cast("bigint")
     return events.select(
         F.concat(F.lit("S"), F.pmod(F.col("user_id"), F.lit(10)).cast("string")).alias("symbol"), F.col("event_id").cast("bigint").alias("seq"),
@@ -32,9 +35,13 @@ BASE_SQL = """base AS (
 
 def depth(spark: SparkSession, sf: str) -> DataFrame:
     """View E: view and click are bid and ask levels, purchase a trade, error a trading status, signup a security event."""
+    return depth_of(spark.read.parquet(f"{sf}/events.parquet"))
+
+
+def depth_of(events: DataFrame) -> DataFrame:
     t = F.col("event_type")
     kind = F.when(t.isin("view", "click"), "level").when(t == "purchase", "trade").when(t == "error", "status").otherwise("event")
-    return base(spark, sf).select(
+    return base_of(events).select(
         "symbol", "seq", "ts_ns", kind.alias("kind"), F.when(t == "view", "B").when(t == "click", "S").alias("side"), (F.col("price4") - F.col("price4") % TICK).alias("price"), F.col("k").alias("size"),
         ((F.col("seq") % 4 != 0) & t.isin("view", "click")).alias("complete"), (F.col("k") < 10).alias("odd_lot"), (F.col("k") % 7 == 0).alias("iso"),
         F.when(t == "error", F.when(F.col("k") % 2 == 0, "T").otherwise("H")).alias("status"),

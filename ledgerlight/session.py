@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from functools import wraps
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -19,3 +26,34 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, memory: str =
     spark = SparkSession.builder.master(master).appName("ledgerlight").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, unless they find it where the driver's environment points.
+
+    Functions that run on executors are pickled by the name of their module.
+    """
+    root = Path(__file__).resolve().parent
+    home = str(root.parent)
+    if home in [str(Path(p).resolve()) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p] or "site-packages" in home:
+        return
+    context = spark.sparkContext
+    if getattr(context, "_ledgerlight_sent", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="ledgerlight-")) / "ledgerlight.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for file in sorted(root.rglob("*.py")):
+            out.write(file, file.relative_to(root.parent))
+    context.addPyFile(str(path))
+    context._ledgerlight_sent = True
+
+
+def shipped(query):
+    """The query, with ``ship`` before it."""
+
+    @wraps(query)
+    def run(spark, *args):
+        ship(spark)
+        return query(spark, *args)
+
+    return run
