@@ -13,7 +13,7 @@ from zlib import crc32
 
 import numpy as np
 
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Odd factors that mix the hashes of neighbours; the last three tell the kinds of n-grams apart.
 LEFT, RIGHT, SHAPED, DOUBLED, TRIPLED = 2654435761, 2246822519, 3266489917, 668265263, 374761393
 REPEATED = 1
@@ -32,12 +32,12 @@ HEADS = (5, 7)
 
 
 class Words(dict):
-    """A word's bytes to its column in an array of hashes: of the word, A-Z lower-cased, of its shape and of its heads."""
+    """A word's bytes to its column in an array of hashes: of the word, A-Z lower-cased, of its shape and, if asked for, of its heads."""
 
-    def __init__(self) -> None:
+    def __init__(self, heads: tuple[int, ...]) -> None:
         super().__init__()
-        self.room = 1 << 16
-        self.hashes = np.zeros((2 + len(HEADS), self.room), np.uint64)
+        self.room, self.heads = 1 << 16, heads
+        self.hashes = np.zeros((2 + len(heads), self.room), np.uint64)
 
     def __missing__(self, raw: bytes) -> int:
         n = len(self)
@@ -45,15 +45,17 @@ class Words(dict):
             self.room *= 2
             self.hashes = np.concatenate((self.hashes, np.zeros_like(self.hashes)), 1)
         word = raw.decode()
-        small = word.lower()
-        self.hashes[:, n] = crc32(raw.lower()), crc32(shape(word).encode(), 7), *(crc32(small[:k].encode(), k) if len(small) > k else 0 for k in HEADS)
+        self.hashes[0, n], self.hashes[1, n] = crc32(raw.lower()), crc32(shape(word).encode(), 7)
+        if self.heads:
+            small = word.lower()
+            self.hashes[2:, n] = [crc32(small[:k].encode(), k) if len(small) > k else 0 for k in self.heads]
         self[raw] = n
         return n
 
 
-@lru_cache(1)
-def known() -> Words:
-    return Words()
+@lru_cache(2)
+def known(heads: tuple[int, ...]) -> Words:
+    return Words(heads)
 
 
 def mixed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
@@ -64,7 +66,7 @@ def mixed(a: np.ndarray, b: np.ndarray, kind: int) -> np.ndarray:
 
 def indicators(texts: list[str | None], wanted: np.ndarray | None = None, heads: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(text's place, feature) pairs, distinct and sorted. ``wanted``: a bitmap of the low bits of features to keep."""
-    words = known()
+    words = known(HEADS if heads else ())
     if len(words) > REMEMBERED:
         words.clear()
     split = [(t or "").encode().split() for t in texts]
@@ -83,7 +85,7 @@ def indicators(texts: list[str | None], wanted: np.ndarray | None = None, heads:
         (row[2:][three], mixed(forms[:-1], form[2:], TRIPLED)[three]) if len(form) > 2 else (row[:0], word[:0]),
         (row[1:][again], np.full(int(again.sum()), REPEATED, np.uint64)),
     ]
-    for k in range(len(HEADS) if heads else 0):
+    for k in range(len(words.heads)):
         head = words.hashes[2 + k][at]
         parts.append((row[head > 0], head[head > 0]))
     keys = []

@@ -8,7 +8,7 @@ from array import array
 from functools import lru_cache
 
 #: Words that one worker remembers; then it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Letters that are their own composed form and whose small letter is one letter, then ASCII marks, in UTF-8.
 PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)")
 
