@@ -154,11 +154,11 @@ def directory_resolve(spark, sf):
     return books.resolved(rows, ["T1", "T2"]).select("file", "seq", "msg_type", "symbol")
 
 
-@query(f"""WITH {views.BASE_SQL}, a AS (SELECT seq, price4, CAST(price4 * k + seq AS DOUBLE) / 100.0 AS x FROM base WHERE (price4 * k + seq) % 50 <> 0) SELECT seq, printf('%d.%04d', price4 // 10000, price4 % 10000) AS price,
+@query(f"""WITH {views.BASE_SQL}, a AS (SELECT seq, price4, CAST((price4 * k + seq) * 100 + 1 AS DOUBLE) / 100.0 AS x FROM base) SELECT seq, printf('%d.%04d', price4 // 10000, price4 % 10000) AS price,
 CASE WHEN x >= 1e9 THEN printf('$%.1fB', x / 1e9) WHEN x >= 1e6 THEN printf('$%.1fM', x / 1e6) WHEN x >= 1e3 THEN printf('$%.1fk', x / 1e3) ELSE printf('$%.0f', x) END AS amount FROM a""")
 def text_formats(spark, sf):
-    cents = F.col("price4") * F.col("k") + F.col("seq")
-    return views.base(spark, sf).where(cents % 50 != 0).select("seq", wire.price_text(F.col("price4")).alias("price"), wire.money(cents.cast("double")).alias("amount"))
+    cents = (F.col("price4") * F.col("k") + F.col("seq")) * 100 + 1  # never between two texts
+    return views.base(spark, sf).select("seq", wire.price_text(F.col("price4")).alias("price"), wire.money(cents.cast("double")).alias("amount"))
 
 
 # Books by level
@@ -449,10 +449,10 @@ def warmup(spark, sf):
     return panel.after_warmup(real_time(spark, sf), BY, 864000)
 
 
-@query(f"WITH {REAL}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol, seq % 7) AS n FROM real), big AS (SELECT avg(n) AS cut FROM n) SELECT symbol, seq, ts FROM n WHERE n >= 140")
+@query(f"WITH {views.BASE_SQL}, n AS (SELECT symbol, event_type, seq, ts_ns AS ts, count(*) OVER (PARTITION BY symbol, event_type) AS n FROM base) SELECT symbol, event_type, seq, ts FROM n WHERE n >= 200")
 def min_rows(spark, sf):
-    rows = real_time(spark, sf).withColumn("part", F.col("seq") % 7)
-    return panel.enough_rows(rows, ["symbol", "part"], 140).select("symbol", "seq", "ts")
+    rows = views.base(spark, sf).select("symbol", "event_type", "seq", F.col("ts_ns").alias("ts"))
+    return panel.enough_rows(rows, ["symbol", "event_type"], 200)
 
 
 def imbalance_sql(a: str, b: str) -> str:
@@ -615,10 +615,10 @@ def top_k(spark, sf):
     return two(spark, sf).select("symbol", F.row_number().over(w).alias("place"), "seq", "spread").where("place <= 6")
 
 
-@query(f"WITH {Q} SELECT '1' AS part, symbol, seq FROM two WHERE seq % 2 = 0 UNION ALL SELECT '2', symbol, seq FROM two WHERE seq % 3 = 0")
+@query(f"WITH {Q} SELECT '1' AS part, symbol, seq FROM two WHERE trades > 2 UNION ALL SELECT '2', symbol, seq FROM two WHERE spread > 300")
 def union_days(spark, sf):
     rows = two(spark, sf)
-    return rows.where("seq % 2 = 0").select(F.lit("1").alias("part"), "symbol", "seq").unionByName(rows.where("seq % 3 = 0").select(F.lit("2").alias("part"), "symbol", "seq"))
+    return rows.where("trades > 2").select(F.lit("1").alias("part"), "symbol", "seq").unionByName(rows.where("spread > 300").select(F.lit("2").alias("part"), "symbol", "seq"))
 
 
 @query(f"WITH {Q} SELECT CAST(count(DISTINCT symbol) AS BIGINT) AS n_symbols, min(date) AS first_date FROM two")
