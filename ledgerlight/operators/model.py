@@ -68,6 +68,13 @@ def fingerprint(n: int, dates: list[str], symbols: list[str], mean: float, sd: f
     return sha256(f"{n}{'|'.join(dates)}{'|'.join(symbols)}{mean:.9f}:{sd:.9f}".encode()).hexdigest()[:16]
 
 
+def fingerprint_row(panel: DataFrame) -> DataFrame:
+    """One row (n, symbols, fingerprint): the same digits as ``fingerprint``, of a whole panel, as an expression."""
+    got = panel.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("date")), "|").alias("dates"), F.array_join(F.array_sort(F.collect_set("symbol")), "|").alias("symbols"), F.avg("fwd_bps").alias("mean"), F.stddev_pop("fwd_bps").alias("sd"))
+    text = F.concat(F.col("n").cast("string"), "dates", "symbols", F.format_string("%.9f:%.9f", "mean", "sd"))
+    return got.select("n", "symbols", F.substring(F.sha2(text, 256), 1, 16).alias("fingerprint"))
+
+
 def fit(panel: DataFrame, alpha: float = 50.0, features: list[str] = FEATURES) -> Model:
     """Both sides standardised; the intercept isn't penalised."""
     centre = panel.agg(*[F.avg(c).alias(c) for c in [*features, "fwd_bps"]]).first()

@@ -287,6 +287,14 @@ def feature_table(spark, sf):
     return tape.feature_table(views.depth(spark, sf), BY, SAMPLE, TICK)
 
 
+@query(f"""WITH {views.BASE_SQL} SELECT symbol, arg_max(price4, seq) FILTER (WHERE k % 3 = 0 AND price4 BETWEEN 1 AND 2147483647) AS official_open, arg_max(price4, seq) FILTER (WHERE k % 3 = 1 AND price4 BETWEEN 1 AND 2147483647) AS official_close
+FROM base WHERE event_type = 'signup' GROUP BY symbol""")
+def official_prices(spark, sf):
+    k = F.col("k")
+    rows = views.base(spark, sf).where("event_type = 'signup'").select("symbol", F.lit("X").alias("msg_type"), F.lit(1).alias("packet_no"), "seq", F.col("price4").alias("price"), F.when(k % 3 == 0, "Q").when(k % 3 == 1, "M").otherwise("Z").alias("price_type"))
+    return tape.official_prices(rows)
+
+
 # Books by order
 
 
@@ -566,6 +574,12 @@ def ridge_predict(spark, sf):
     return rows.select("symbol", "seq", r6(fitted.prediction()).alias("pred"))
 
 
+@query(f"""WITH {SCORED}, m AS (SELECT CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT symbol, '|' ORDER BY symbol) AS symbols, avg(fwd_bps) AS mean, stddev_pop(fwd_bps) AS sd FROM scored)
+SELECT n, symbols, substr(sha256(CAST(n AS VARCHAR) || '20200102' || symbols || printf('%.9f:%.9f', mean, sd)), 1, 16) AS fingerprint FROM m""")
+def training_fingerprint(spark, sf):
+    return model.fingerprint_row(scored(spark, sf))
+
+
 CARDS = """cards AS (SELECT CAST(o_custkey % 40 AS BIGINT) AS day, CAST(count(*) AS BIGINT) AS n, round(avg(o_totalprice) / 1000 - 150, 4) AS net_bps, round(avg(o_orderkey % 100) / 100.0, 4) AS ic_spearman FROM orders GROUP BY 1)"""
 
 

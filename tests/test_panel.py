@@ -182,6 +182,7 @@ def test_ridge_against_numpy(spark):
     want = (z @ beta + y.mean() / y.std()) * y.std()
     got = df.withColumn("p", fitted.prediction()).toPandas()
     assert np.allclose(got.p, want, atol=1e-6)
+    assert model.fingerprint_row(df).first().fingerprint == fitted.train_fingerprint
     again = model.Model.from_json(fitted.to_json())
     assert again == fitted and fitted.in_sample_ic > 0.5
     with pytest.raises(ValueError):
