@@ -36,9 +36,9 @@ class Workspace:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(name)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write ``df`` and read it back."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", compression).parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:

@@ -166,7 +166,7 @@ def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LEN
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
     cutter = partial(sequences, path=tokenizer or word_tokenizer_path(), end=end, length=length, width=width)
-    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences")
+    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences", "zstd")
     counts = sorted((r.task, r.n) for r in staged.groupBy("task").agg(F.count("*").alias("n")).collect())
     n, first = 0, {}
     for task, rows in counts:
