@@ -41,21 +41,32 @@ def training(docs: DataFrame, labels: DataFrame, label: str, max_rows: int = MAX
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
-    got = rows.mapInArrow(partial(featured, heads=heads), "doc_id long, label int, features binary").toArrow().to_pydict()
-    order, seen, y, x = sorted(range(len(got["doc_id"])), key=lambda i: (got["doc_id"][i], got["label"][i], got["features"][i])), set(), [], []
-    for i in order:
-        if got["doc_id"][i] not in seen:
-            seen.add(got["doc_id"][i])
-            y.append(got["label"][i])
-            x.append(np.frombuffer(got["features"][i], np.uint32))
+    got = rows.mapInArrow(partial(featured, heads=heads), "doc_id long, label int, features binary").toArrow()
+    doc, label, found = got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2)
+    seen, y, x = set(), [], []
+    for i in sorted(range(len(doc)), key=lambda i: (doc[i], label[i], found[i].as_py())):
+        if doc[i] not in seen:
+            seen.add(doc[i])
+            y.append(label[i])
+            x.append(np.frombuffer(found[i].as_buffer(), np.uint32))
     return np.array(y, np.int64), x
 
 
 def vocabulary(x: list[np.ndarray], least: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Features in at least ``least`` rows, and each row as places in them."""
-    every, count = np.unique(np.concatenate(x) if x else np.zeros(0, np.uint32), return_counts=True)
-    kept = every[count >= least]
-    if not len(kept):
-        return kept, [np.zeros(0, np.int64) for _ in x]
-    at = [np.minimum(np.searchsorted(kept, row), len(kept) - 1) for row in x]
-    return kept, [a[kept[a] == row] for a, row in zip(at, x, strict=True)]
+    kept = frequent(x, least)
+    out = []
+    for row in x:
+        at = np.minimum(np.searchsorted(kept, row), max(0, len(kept) - 1)).astype(np.int32)
+        out.append(at[kept[at] == row] if len(kept) else at[:0])
+    return kept, out
+
+
+def frequent(x: list[np.ndarray], least: int) -> np.ndarray:
+    """The features in at least ``least`` rows, counted in sixteen ranges, so that few are in memory at once."""
+    found, step = [], 1 << 28
+    for low in range(0, 1 << 32, step):
+        part = [row[np.searchsorted(row, np.uint32(low)) : np.searchsorted(row, np.uint32(low + step - 1), "right")] for row in x]
+        every, count = np.unique(np.concatenate(part) if part else np.zeros(0, np.uint32), return_counts=True)
+        found.append(every[count >= least])
+    return np.concatenate(found)
