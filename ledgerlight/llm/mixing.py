@@ -28,7 +28,7 @@ from ledgerlight.llm.cluster import Workspace, running_total, wrapped
 #: A word is a run of anything but these.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
-STEPS = 80
+STEPS, STEPS_A_JOB = 80, 4
 #: Sums of rates are kept as decimals, so that they don't depend on the order of addition.
 EXACT = "decimal(38,10)"
 CORRECTIONS = 4
@@ -57,41 +57,40 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
     return levels.withColumn("target", F.least(max_copies * F.col("source_size").cast("double"), F.max("level").over(every) * F.col("weight"))).drop("level", "weight")
 
 
+def stepped(cells: DataFrame, state: DataFrame, max_copies: int) -> DataFrame:
+    """One guarded Newton step of every source's dual: a grouped sum over the cells. A step out of the bracket becomes a bisection."""
+    tilted, most = F.col("tilt") * F.col("size") / F.col("mean"), math.log(max_copies)
+    mass = F.col("n") * F.col("size") * F.when(tilted < most, F.exp(F.least(tilted, F.lit(most)))).otherwise(float(max_copies))
+    slope = F.when(tilted < most, mass * F.col("size") / F.col("mean")).otherwise(0.0)
+    sums = cells.join(state, "key").groupBy(*state.columns).agg(F.sum(mass.cast(EXACT)).cast("double").alias("got"), F.sum(slope.cast(EXACT)).cast("double").alias("slope"))
+    over, tilt = F.col("got") - F.col("target"), F.col("tilt")
+    low, high = F.when(over < 0, tilt).otherwise(F.col("low")), F.when(over > 0, tilt).otherwise(F.col("high"))
+    newton = tilt - F.try_divide(over, F.col("slope"))
+    inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
+    stay = F.abs(over) <= 1e-9 * F.col("target")
+    return sums.select(
+        "key", "target", "mean", F.when(stay, tilt).otherwise(F.when(inside, newton).otherwise((low + high) / 2)).alias("tilt"),
+        F.when(stay, F.col("low")).otherwise(low).alias("low"), F.when(stay, F.col("high")).otherwise(high).alias("high"), stay.alias("done"),
+    )
+
+
 def tilts(work: Workspace, cells: DataFrame, sources: DataFrame, max_copies: int) -> DataFrame:
-    """The sources with ``tilt``: guarded Newton steps on every source's dual, until all targets are met.
+    """(key, tilt, mean): Newton steps on every source's dual until all targets are met.
 
-    cells: key, size, n. sources: key, target, source_size, mean, least (of the positive sizes). A step is one
-    grouped sum over the cells; a step that leaves the bracket becomes a bisection.
+    cells: key, size, n, sizes above zero. sources: key, target, source_size, mean, least (size). A few steps make one job; its
+    result, a row for each source, is written before the next.
     """
-    met = F.lit(0.0)
-    state = sources.select(
-        "*",
-        met.alias("tilt"),
-        F.least(met, F.ln(F.col("target") / F.col("source_size")) * F.col("mean") / F.col("least")).alias("low"),
-        (F.log(F.lit(float(max_copies))) * F.col("mean") / F.col("least")).alias("high"),
-        F.lit(False).alias("done"),
-    )
-    state, last = work.table(state, "tilt0"), 0
-    for step in range(1, STEPS + 1):
-        tilted, most = F.col("tilt") * F.col("size") / F.col("mean"), math.log(max_copies)
-        mass = F.col("n") * F.col("size") * F.when(tilted < most, F.exp(F.least(tilted, F.lit(most)))).otherwise(float(max_copies))
-        slope = F.when(tilted < most, mass * F.col("size") / F.col("mean")).otherwise(0.0)
-        sums = cells.join(state.where(~F.col("done")).select("key", "tilt", "mean"), "key").groupBy("key").agg(F.sum(mass.cast(EXACT)).cast("double").alias("got"), F.sum(slope.cast(EXACT)).cast("double").alias("slope"))
-        over = F.col("got") - F.col("target")
-        low, high = F.when(over < 0, F.col("tilt")).otherwise(F.col("low")), F.when(over > 0, F.col("tilt")).otherwise(F.col("high"))
-        newton = F.col("tilt") - F.try_divide(over, F.col("slope"))
-        inside = F.coalesce((newton > low) & (newton < high), F.lit(False))
-        near = F.abs(over) <= 1e-9 * F.col("target")
-        stay = F.col("done") | F.coalesce(near, F.lit(True))
-        moved = state.join(sums, "key", "left").select(
-            *sources.columns,
-            F.when(stay, F.col("tilt")).otherwise(F.when(inside, newton).otherwise((low + high) / 2)).alias("tilt"),
-            F.when(stay, F.col("low")).otherwise(low).alias("low"),
-            F.when(stay, F.col("high")).otherwise(high).alias("high"),
-            stay.alias("done"),
-        )
-        state, last = work.table(moved, f"tilt{step}"), step
-        work.drop(f"tilt{step - 1}")
+    none = F.lit(0.0)
+    state = work.table(sources.select(
+        "key", "target", "mean", none.alias("tilt"),
+        F.least(none, F.ln(F.col("target") / F.col("source_size")) * F.col("mean") / F.col("least")).alias("low"),
+        (F.lit(math.log(max_copies)) * F.col("mean") / F.col("least")).alias("high"), F.lit(False).alias("done"),
+    ), "tilt0")
+    for job in range(1, STEPS // STEPS_A_JOB + 1):
+        for _ in range(STEPS_A_JOB):
+            state = stepped(cells, state, max_copies)
+        state = work.table(state, f"tilt{job}")
+        work.drop(f"tilt{job - 1}")
         if not state.where(~F.col("done")).limit(1).count():
             break
     return state.select("key", "tilt", "mean")
@@ -123,7 +122,7 @@ def mix_sizes(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_copies
     )
     aims = work.table(targets(sources, weights, max_copies), "targets")
     full = F.col("target") >= max_copies * F.col("source_size")
-    solved = tilts(work, cells.where(some), aims.where((F.col("source_size") > 0) & ~full), max_copies)
+    solved = tilts(work, cells.where(some).select("key", "size", "n"), aims.where((F.col("source_size") > 0) & ~full), max_copies)
     rate = F.when(full, F.lit(float(max_copies))).otherwise(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("mean"), F.log(F.lit(float(max_copies))))))
     rated = cells.drop("source").join(aims.drop("source", "mean", "least"), "key").join(solved, "key", "left")
     rated = rated.withColumn("rate", F.when(F.col("size") > 0, rate).otherwise(1.0)).withColumn("base", F.floor("rate").cast("int"))
