@@ -76,13 +76,17 @@ def sampled(rows: DataFrame, keys: list[str], sample_ns: int = SECOND) -> DataFr
     forced = (F.col("kind") == "event") & F.col("event").isin("O", "C")
     rows = rows.withColumns({"grid": is_grid_sample(F.col("ts_ns"), complete, keys, sample_ns), "forced": F.coalesce(forced, F.lit(False))})
     moved = (F.col("kind") == "trade") | ((F.col("kind") == "level") & F.col("sound"))
-    last = rows.groupBy(*keys).agg(
-        F.count_if(complete).alias("n"), (F.max("seq") + 1).alias("seq"), F.coalesce(F.max_by("ts_ns", F.when(moved, F.col("seq"))), F.lit(0)).alias("ts_ns"),
-        F.max_by(F.struct("stable", "live", "trading_status", "mid_x2"), "seq").alias("end"),
-    )
-    flush = last.where("n > 0").select(*keys, "seq", "ts_ns", F.lit("flush").alias("kind"), F.lit(False).alias("grid"), F.lit(False).alias("forced"), "end.*")
-    every = rows.unionByName(flush, allowMissingColumns=True)
-    return every.withColumn("sample", F.col("grid") | F.col("forced") | (F.col("kind") == "flush"))
+    order = Window.partitionBy(*keys).orderBy("seq")
+    rows = rows.withColumns({"_done": F.sum(complete.cast("int")).over(upto(keys)), "_moved": F.last(F.when(moved, F.col("ts_ns")), True).over(upto(keys)), "_end": F.lead("seq").over(order).isNull()})
+    # the last row of a key comes twice, the second time as its flush; so the fold before runs once
+    both = F.when(F.col("_end") & (F.col("_done") > 0), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("_flush", F.explode(both))
+    flush = F.col("_flush")
+    rows = rows.withColumns({
+        "seq": F.col("seq") + flush.cast("int"), "ts_ns": F.when(flush, F.coalesce("_moved", F.lit(0))).otherwise(F.col("ts_ns")), "kind": F.when(flush, "flush").otherwise(F.col("kind")),
+        "grid": F.col("grid") & ~flush, "forced": F.col("forced") & ~flush,
+    })
+    return rows.drop("_done", "_moved", "_end", "_flush").withColumn("sample", F.col("grid") | F.col("forced") | (F.col("kind") == "flush"))
 
 
 def intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
