@@ -89,8 +89,11 @@ SEQUENCES = "length int, docs array<struct<doc_id:bigint,start:bigint,length:int
 
 
 def sequences(batches: Iterator[pa.RecordBatch], path: str, end: int, length: int, width: int) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to numbered sequences."""
+    """(doc_id, text) to numbered sequences, their ids compressed until they are written."""
+    from zstandard import ZstdCompressor
+
     known, last, task, number = word_ids(path, width), end.to_bytes(width, "little"), TaskContext.get().partitionId(), 0
+    squeeze = ZstdCompressor(level=1).compress
     size, parts, places, have = length * width, [], [], 0
     rows: list[tuple[int, list, bytes]] = []
 
@@ -111,12 +114,12 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, end: int, length: in
                 places.append({"doc_id": doc, "start": at // width, "length": len(part) // width})
                 at, have = at + len(part), have + len(part)
                 if have == size:
-                    rows.append((length, places, b"".join(parts)))
+                    rows.append((length, places, squeeze(b"".join(parts))))
                     parts, places, have = [], [], 0
             if len(rows) >= 256:
                 yield flush()
     if have:
-        rows.append((have // width, places, b"".join(parts)))
+        rows.append((have // width, places, squeeze(b"".join(parts))))
     if rows:
         yield flush()
 
@@ -136,8 +139,10 @@ WRITTEN = "slot long, shard int, row long, length int, docs array<struct<doc_id:
 def write(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordBatch]:
     """Sorted sequences to shard files; a row for each record."""
     from pyarrow.fs import FileSystem
+    from zstandard import ZstdDecompressor
 
     store, folder = FileSystem.from_uri(m.root)
+    whole = ZstdDecompressor().decompress
     attempt, shard, out = TaskContext.get().taskAttemptId(), None, None
 
     def finish() -> None:
@@ -153,7 +158,7 @@ def write(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordB
                 finish()
                 shard = int(at[i])
                 out = store.open_output_stream(f"{folder}/.shard-{shard:06d}.{attempt}")
-            record = ids[i].as_py().ljust(m.stride, b"\0")
+            record = whole(ids[i].as_py()).ljust(m.stride, b"\0")
             out.write(record)
             sums.append(crc32(record))
         arrays = [pa.array(slot), pa.array(at.astype(np.int32)), pa.array(slot % m.rows), batch.column("length"), batch.column("docs"), pa.array(sums, pa.int64())]
@@ -166,7 +171,7 @@ def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LEN
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
     cutter = partial(sequences, path=tokenizer or word_tokenizer_path(), end=end, length=length, width=width)
-    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences", "zstd")
+    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences")
     counts = sorted((r.task, r.n) for r in staged.groupBy("task").agg(F.count("*").alias("n")).collect())
     n, first = 0, {}
     for task, rows in counts:
