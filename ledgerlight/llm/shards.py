@@ -93,7 +93,7 @@ def sequences(batches: Iterator[pa.RecordBatch], path: str, end: int, length: in
     from zstandard import ZstdCompressor
 
     known, last, task, number = word_ids(path, width), end.to_bytes(width, "little"), TaskContext.get().partitionId(), 0
-    squeeze = ZstdCompressor(level=1).compress
+    squeeze = ZstdCompressor(level=2).compress
     size, parts, places, have = length * width, [], [], 0
     rows: list[tuple[int, list, bytes]] = []
 
