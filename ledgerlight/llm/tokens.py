@@ -50,7 +50,10 @@ class WordIds(dict):
         if (m := PLAIN.fullmatch(word)) is None:
             ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         elif m[2] and m[1]:
-            out = self[word] = self[m[1]] + self[m[2]]
+            known = m[1] in self
+            out = self[m[1]] + self[m[2]]
+            if known:  # what is met for the first time is seldom met again with the same marks
+                self[word] = out
             return out
         else:
             small = word.lower() if word.isascii() else word.decode().lower().encode()
