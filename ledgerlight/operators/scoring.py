@@ -107,11 +107,11 @@ def lag_products(held: DataFrame, columns: list[str], lags: int, order: list[str
     if within:
         keys, rows = within, held
     else:
-        block = 1 << 16
-        nth = numbered(held, order)
-        own = nth.withColumn("_block", F.call_function("div", F.col("_nth"), F.lit(block))).withColumn("_own", F.lit(True))
-        before = own.where(F.pmod(F.col("_nth"), F.lit(block)) >= block - lags).withColumns({"_block": F.col("_block") + 1, "_own": F.lit(False)})
-        keys, rows, order = ["_block"], own.union(before), ["_nth"]
+        block = 1 << 14
+        at, tail = F.call_function("div", F.col("_nth"), F.lit(block)), F.pmod(F.col("_nth"), F.lit(block)) >= block - lags
+        own, next_ = F.struct(at.alias("_block"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_block"), F.lit(False).alias("_own"))
+        dealt = numbered(held, order).withColumn("_to", F.explode(F.when(tail, F.array(own, next_)).otherwise(F.array(own))))
+        keys, rows, order = ["_block"], dealt.select("*", "_to.*").drop("_to"), ["_nth"]
     rows = rows.crossJoin(F.broadcast(means))
     for c in columns:
         rows = rows.withColumn(f"e_{c}", F.col(c) - F.col(f"m_{c}"))
