@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerlight.llm import lines, mixing, packing, quality, simhash
+from ledgerlight.llm import lines, mixing, packing, quality, similar
 from ledgerlight.llm.cluster import Workspace
 
 
@@ -23,8 +23,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, over shingles of five words."""
-    return simhash.deduplicated(docs, width=5)
+    """One document of each group of near duplicates: texts whose shingles of five words have a Jaccard similarity of 0.8 or more."""
+    return similar.deduplicated(docs, width=5)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

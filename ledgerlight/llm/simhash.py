@@ -182,15 +182,20 @@ def near_duplicates(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame
     return grouped(docs, width, bits).select("doc_id", hexadecimal().alias("fingerprint"), "component_id")
 
 
+def chosen(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``kept`` (doc_id, text_hash)."""
+    hashed = wrapped(docs).withColumns({"own_id": F.col("row.doc_id"), "own_hash": F.xxhash64("row.text")})
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
+
+
 def deduplicated(docs: DataFrame, width: int = 4, bits: int = 4) -> DataFrame:
     """One document of each component, that of the least (doc_id, hash of its text), null ids last; same columns."""
     found = grouped(docs, width, bits, ("doc_id", "text_hash"))
     group = F.coalesce("component_id", F.lit(-1)), F.when(F.col("component_id").isNull(), F.col("fp"))
     first = found.groupBy(*[g.alias(f"g{i}") for i, g in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"))
     kept = first.select(F.col("one.doc_id").alias("doc_id"), F.col("one.text_hash").alias("text_hash")).distinct()
-    hashed = wrapped(docs).withColumns({"own_id": F.col("row.doc_id"), "own_hash": F.xxhash64("row.text")})
-    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["own_id", "own_hash"]).select("row.*")
+    return chosen(docs, kept)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
