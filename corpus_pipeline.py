@@ -33,8 +33,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 ids, packed into windows."""
-    return packing.pack(docs)
+    """Pieces of at most 4096 ids, packed into windows, with their ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
