@@ -3,9 +3,9 @@
 Vectors are put into inverted lists around coarse centroids; their residuals are coded by subspace. A query looks its
 subspace products up in tables, adds them along the codes and gets each vector's approximate cosine. The
 true one is off by no more than the stored coding error, so what cannot reach the threshold goes; the
-others are ranked again by the exact cosine in double precision. A query probes every list whose border with its own is nearer than ``reach`` of
-the distance at the threshold. With reach 1 no link could be missed; the default takes four standard
-deviations of the part of a difference that points towards one border, in many dimensions far less.
+others are ranked again by the exact cosine in double precision. A query probes every list whose border with its own is within
+the distance at the threshold: whatever lies beyond a farther border is farther than that, so no link is missed and
+each is found from both of its ends.
 
 The quantiser is fitted on a bounded sample by a hash of vec_id; every vector is indexed and is a query. Equal vectors
 count once, with their number. Long lists are cut into blocks and compared tile by tile; a tile returns counts of links and the
@@ -35,7 +35,6 @@ SAMPLE = 8192
 LIST_SIZE, MOST_LISTS = 4096, 1024
 SUBSPACES, CODES = 8, 256
 BLOCK = 2048
-REACH = 4.0
 
 
 def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -81,7 +80,7 @@ class Quantiser:
         """Whether each list's border with the vector's own list is nearer than ``distance``."""
         d = ((x**2).sum(1)[:, None] + (self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T)
         between = np.linalg.norm(self.centres[own][:, None, :] - self.centres[None, :, :], axis=2)
-        out = d - d[np.arange(len(x)), own][:, None] <= 2 * between * distance
+        out = d - d[np.arange(len(x)), own][:, None] <= 2 * between * distance + 1e-9  # what rounding may add
         out[np.arange(len(x)), own] = True
         return out
 
@@ -184,7 +183,7 @@ def tile(key: tuple, table: pa.Table, models: dict[int, Quantiser], kind: str, l
     return pa.table({"id": ids[kept], "links": links[kept], "root": root[kept]})
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE, reach: float = REACH) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPLE) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept. vectors: vec_id, embedding, label."""
     spark = vectors.sparkSession
     work = Workspace(spark, "embeddings")
@@ -207,16 +206,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, sample: int = SAMPL
     for dim in np.unique(dims):
         models[int(dim)] = quantiser(unit([raw[i] for i in np.flatnonzero(dims == dim)], int(dim), kind), int(min(MOST_LISTS, max(4, total // LIST_SIZE))))
     distance = sqrt(2 - 2 * least)
-    scaled = {d: distance * min(1.0, reach / sqrt(d)) for d in models}
-
-    def with_lists(batches):
-        # lengths differ in how far a query has to look
-        for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            for dim in np.unique(dims):
-                yield from indexed(iter([batch.filter(pa.array(dims == dim))]), models, kind, scaled.get(int(dim), distance))
-
-    index = work.table(classes.mapInArrow(with_lists, f"{head}, list int, codes binary, error double, probes array<int>"), "index")
+    index = work.table(classes.mapInArrow(partial(indexed, models=models, kind=kind, distance=distance), f"{head}, list int, codes binary, error double, probes array<int>"), "index")
     place = ["label", "dim", "list"]
     held = index.groupBy(*place).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("held"))
     queries = index.select("id", "weight", "label", "dim", "vector", F.explode("probes").alias("list"))
