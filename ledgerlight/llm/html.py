@@ -49,8 +49,17 @@ IMPLIED = {
 #: End tags don't reach out of these, unless they name them.
 WALLS = frozenset("table td th caption button select template".split())
 
-TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))*+)(>|\Z)|</(?:>|[^a-zA-Z][^>]*+(?:>|\Z))""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: An attribute as the tokenizer's states have it: quotes open a value only right after "=", elsewhere they are characters.
+NAMED = r"""[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+"""
+VALUE = r"""(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"%s(?:"|\Z)|'%s(?:'|\Z)|%s|(?=>|\Z)))?+"""
+PLAIN = r"""[^ \t\n\f\r"'>][^ \t\n\f\r>]*+"""
+ATTRIBUTE = re.compile(f"({NAMED})" + VALUE % ('([^"]*+)', "([^']*+)", f"({PLAIN})"))
+TOKEN = re.compile(
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[ \t\n\f\r/]++|"""
+    + NAMED + VALUE % ('[^"]*+', "[^']*+", PLAIN)
+    + r""")*+)(>|\Z)|</(?:>|[^a-zA-Z][^>]*+(?:>|\Z))""",
+    re.S,
+)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
