@@ -3,7 +3,8 @@
 The builder opens and closes what the source leaves out (paragraphs, list items, rows, cells, options), keeps raw-text
 elements whole and flattens what nests deeper than ``DEPTH``, as browsers do. Not shown are scripts, styles, the head,
 templates, fallbacks, closed details and dialogs, unselected options, and what ``hidden``, ``display:none`` or
-``visibility:hidden`` hide, inline or by simple selectors of the page's own style sheets. All other text is: white space collapses but in
+``visibility:hidden`` hide, inline or by simple selectors of the page's own style sheets; of svg its text elements are shown, of
+math all but annotations and phantoms. All other text is: white space collapses but in
 preformatted text, paragraphs are apart by a blank line, other blocks by a line break, list items have marks and
 indents, and table cells stand in aligned columns, spans included.
 
@@ -26,7 +27,7 @@ COLUMN = 80
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noscript noframes noembed iframe head title object audio video canvas datalist svg math meta link".split())
+UNSEEN = frozenset("script style template noscript noframes noembed iframe head title object audio video canvas datalist meta link annotation annotation-xml mphantom".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul xmp".split())
 BLOCKS = CLOSES_P | frozenset("html body li dt dd tr caption legend option optgroup".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote ul ol dl pre figure table menu dir hr fieldset xmp".split())
@@ -46,6 +47,12 @@ IMPLIED = {
     "rt": (("rt", "rp"), ("ruby",)),
     "rp": (("rt", "rp"), ("ruby",)),
 }
+#: Elements of svg that show no text of theirs, and elements of math whose parts stand apart.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+APART = frozenset("mfrac msub msup msubsup mroot mover munder munderover mmultiscripts mtr mlabeledtr mtable".split())
+#: Start tags that end svg and math, unless they are in one of the elements that may hold HTML.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HOLDERS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 #: End tags don't reach out of these, unless they name them.
 WALLS = frozenset("table td th caption button select template".split())
 
@@ -130,6 +137,15 @@ def tree(page: str) -> Node:
             elif name in tags:
                 end((name,), WALLS - {name} if name not in ("tr", "tbody", "thead", "tfoot", "table") else ("table",) if name != "table" else ())
             continue
+        if foreign := "svg" in tags or "math" in tags:
+            inner = next(t for t in reversed(tags) if t in ("svg", "math") or t in HOLDERS)
+            foreign = inner in ("svg", "math")
+            if foreign and name in BREAKOUT:
+                end((inner,), ())
+                foreign = False
+        if (foreign or name in ("svg", "math")) and found[3].endswith("/") and all(m.end() < len(found[3]) for m in ATTRIBUTE.finditer(found[3])):
+            stack[-1].children.append(Node(name, found[3]))
+            continue
         if "head" in tags and name not in ("title", "meta", "link", "script", "style", "base", "template", "noscript", "head"):
             end(("head",), ())
         if name in CLOSES_P and "p" in tags:
@@ -234,6 +250,24 @@ def number(value: str | None, otherwise: int, most: int) -> int:
     return min(most, max(1, int(value))) if value and value.strip().isdecimal() and len(value) < 9 else otherwise
 
 
+def drawing(node: Node, out: Layout, rules: dict[str, str], unseen: bool) -> None:
+    """The texts of an svg element, and what HTML it holds."""
+    for child in node.children:
+        if isinstance(child, str) or child.tag in UNDRAWN or child.tag in UNSEEN:
+            continue
+        a = child.attributes
+        style = ";".join([*(f"{n}:{a[n].lower()}" for n in ("display", "visibility") if n in a), styled(child, rules)]) if a or rules else ""
+        if NONE.search(style):
+            continue
+        hidden = True if HIDDEN.search(style) else False if SHOWN.search(style) else unseen
+        if child.tag in ("text", "foreignobject"):
+            out.text(" ")
+            render(child, out, rules, bool(KEPT.search(style)), hidden)
+            out.text(" ")
+        else:
+            drawing(child, out, rules, hidden)
+
+
 def render(node: Node, out: Layout, rules: dict[str, str], pre: bool = False, unseen: bool = False) -> None:
     """Lay out a node's children."""
     counter = number(node.attributes.get("start"), 1, 10**8) if node.tag == "ol" else None
@@ -290,6 +324,12 @@ def render(node: Node, out: Layout, rules: dict[str, str], pre: bool = False, un
             else:
                 render(child, out, rules, space, hidden)
             out.block(tag in SPACED and not nested)
+        elif tag == "svg":
+            drawing(child, out, rules, hidden)
+        elif node.tag in APART and not pre:
+            out.text(" ")
+            render(child, out, rules, space, hidden)
+            out.text(" ")
         elif tag in ("td", "th"):  # outside a table
             out.text(" ")
             render(child, out, rules, space, hidden)
@@ -317,6 +357,7 @@ def grid(table: Node, rules: dict[str, str], unseen: bool) -> list[str]:
             todo += reversed(child.children)
         elif child.tag == "tfoot":
             last += [c for c in child.children if isinstance(c, Node) and c.tag == "tr"]
+            todo += [c for c in reversed(child.children) if isinstance(c, str) or c.tag != "tr"]
         elif child.tag == "tr":
             rows.append(child)
         elif child.tag not in ("colgroup", "col"):
@@ -337,6 +378,10 @@ def grid(table: Node, rules: dict[str, str], unseen: bool) -> list[str]:
                 holder = Node("td")
                 holder.children = [cell]
                 cell = holder
+            elif cell.tag in ("svg", "math"):
+                holder = Node("td")
+                holder.children = [cell]
+                cell = holder
             style = styled(cell, rules) if cell.attributes or rules else ""
             if cell.tag in UNSEEN or "hidden" in cell.attributes or NONE.search(style):
                 continue
