@@ -274,8 +274,11 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media, n = stored(texts[i].as_py())
             gif = decode(media)
             payload = b"".join(f.samples.tobytes() for f in gif.frames)
-            grey = sum(np.bincount(f.samples.ravel() >> 5, minlength=BINS) for f in gif.frames)
-            feature = f"frames={len(gif.frames)};cs={sum(f.delay for f in gif.frames)};grey={','.join(map(str, grey.tolist()))}"
+            grey, cs = np.zeros(BINS, np.int64), 0
+            for f, (start, delay, canvas) in zip(gif.frames, composed(gif), strict=True):
+                grey += histogram(canvas[f.top : f.top + f.height, f.left : f.left + f.width])[:BINS]
+                cs = start + delay
+            feature = f"frames={len(gif.frames)};cs={cs};grey={','.join(map(str, grey.tolist()))}"
             for column, value in zip(columns, (doc, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(media), sha256(media).hexdigest(), feature), strict=True):
                 column.append(value)
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
@@ -283,7 +286,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Each text as a GIF, read back: DIGEST's columns."""
+    """Each text as a GIF, read back: DIGEST's columns. The feature counts the colours of what each frame paints, as composed."""
     return docs.select("doc_id", "text").mapInArrow(digests, DIGEST)
 
 
