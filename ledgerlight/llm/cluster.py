@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,18 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests, one machine), a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder in ``spark.checkpoint.dir``, or the one given to ``setCheckpointDir``.
+
+    Without either, a session whose executors are in the driver's process gets a temporary folder; a cluster gets an
+    error, as no folder of one machine is seen by all.
+    """
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="ledgerlight-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[[^]]*\])?\Z", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="ledgerlight-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 

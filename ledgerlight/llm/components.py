@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +11,18 @@ from ledgerlight.llm.cluster import Workspace
 ROUNDS = 60
 
 
+def least_places(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For places 0 to n - 1 linked by pairs (a, b): the least place that each reaches. For what one task holds."""
+    label, before = np.arange(n), None
+    while before is None or (label != before).any():
+        before = label.copy()
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+    return label
+
+
 def components(work: Workspace, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v: long, not null); root is the least node reachable.
 

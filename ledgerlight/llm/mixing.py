@@ -10,9 +10,10 @@ duals at once over the counts of documents for each source and size; the documen
 Rates then become whole copies: within a source the running number of copies, by size, is the rounded
 running sum of rates; what is left of the error is filled by a few copies more or fewer.
 
-Defined cases: a null text has size 0 and is taken 0 times its size; sources may be null (one source,
-last in order); rows that repeat (doc_id, source, size) get the same number of copies; an empty table gives an empty
-one; other columns are ignored.
+Defined cases: a null or empty text has size 0 and is taken 0 times its size; a text of any length is one number here, and may
+be rated 0 where it outweighs its source's target; sources may be null (one source, last in order); documents of one
+source and size tie, and a hash of doc_id decides which get one copy more; rows that repeat (doc_id, source, size) get
+the same number of copies; an empty table gives an empty one; other columns are ignored. Duals that aren't solved raise.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ def tilts(work: Workspace, cells: DataFrame, sources: DataFrame, max_copies: int
         work.drop(f"tilt{job - 1}")
         if not state.where(~F.col("done")).limit(1).count():
             break
+    else:
+        raise RuntimeError(f"the targets aren't met after {STEPS} steps")
     return state.select("key", "tilt", "mean")
 
 

@@ -4,8 +4,8 @@ A byte-position inverted index finds the pairs. Two fingerprints of eight bytes
 bits agree in at least four bytes, whatever their positions. A list for each single byte would hold a 256th
 of all fingerprints and its pairs would grow with their square; so a list is kept for three positions
 at once. Of the 56 triples the 20 in ``TRIPLES`` suffice: among any four positions is one of them. Lists of one fingerprint go.
-Within a list the shared positional bytes of each pair are tallied, pairs with fewer than four go, and
-the rest are verified by their differing bits. Long lists are cut into blocks and compared tile by tile, in
+A list is three postings at once, so a pair in it has three votes; the postings of the other positions add theirs, and pairs
+that don't get a fourth go. Only the survivors are verified by their differing bits. Long lists are cut into blocks and compared tile by tile, in
 as many tasks as there are tiles; none is capped. A tile returns the components it has found, not
 its pairs, so the output is no longer than the input.
 
@@ -13,7 +13,8 @@ Copies share a fingerprint and count once in the index, however many there are.
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; texts of fewer
 words than a shingle hash as a whole; rows without doc_id get their group's id, null where no row of
-the group has one; repeated rows are linked; an empty table gives an empty one; other columns are ignored.
+the group has one; repeated rows are linked; a text of any length is hashed whole, 16,384 shingles at a time; ties can't change a
+result, as a component's id is a minimum; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlight.llm.cluster import Workspace, wrapped
-from ledgerlight.llm.components import components
+from ledgerlight.llm.components import components, least_places
 
 SEED = 42
 #: Fingerprints in a block of a long list.
@@ -87,15 +88,26 @@ def fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], names=[*batch.schema.names[:-1], "fp"])
 
 
-def near(x: np.ndarray, bits: int) -> np.ndarray:
-    """For XORs of pairs: whether enough positional bytes agree and few enough bits differ."""
-    shared = (np.ascontiguousarray(x).view(np.uint8).reshape(*x.shape, POSITIONS) == 0).sum(-1)
-    return (shared >= POSITIONS - bits) & (np.bitwise_count(x) <= bits)
+def tallied(bytes_: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes the pairs (a, b) share: a vote from each position's postings. bytes_: (position, place)."""
+    shared = np.zeros(len(a), np.uint8)
+    for posting in bytes_:
+        shared += posting[a] == posting[b]
+    return shared
+
+
+def survivors(fp: np.ndarray, bytes_: np.ndarray, a: np.ndarray, b: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that reach the least number of shared bytes; then, of those alone, the ones that differ in few enough bits."""
+    kept = np.flatnonzero(tallied(bytes_, a, b) >= POSITIONS - bits)
+    a, b = a[kept], b[kept]
+    near = np.bitwise_count(fp[a] ^ fp[b]) <= bits
+    return a[near], b[near]
 
 
 def linked(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges from each fingerprint to the least of its component, among those of equal group. Rows are sorted by group."""
     n, pairs = len(fp), []
+    bytes_ = np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, POSITIONS).T)
     starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
     small = np.repeat(sizes <= 32, sizes)
@@ -103,20 +115,14 @@ def linked(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
         same = np.flatnonzero((group[shift:] == group[:-shift]) & small[shift:]) if n > shift else np.zeros(0, int)
         if not len(same):
             break
-        same = same[near(fp[same] ^ fp[same + shift], bits)]
-        pairs.append((same, same + shift))
+        pairs.append(survivors(fp, bytes_, same, same + shift, bits))
     for start, size in zip(starts[sizes > 32], sizes[sizes > 32], strict=True):
-        for at in range(0, size, 256):
-            a, b = np.nonzero(near(fp[start + at : start + min(at + 256, size), None] ^ fp[None, start + at : start + size], bits))
-            pairs.append((start + at + a[a < b], start + at + b[a < b]))
+        for at in range(0, size, 64):
+            a, b = np.meshgrid(np.arange(start + at, start + min(at + 64, size)), np.arange(start + at, start + size), indexing="ij")
+            later = a < b
+            pairs.append(survivors(fp, bytes_, a[later], b[later], bits))
     a, b = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, int) for i in (0, 1))
-    label, before = np.arange(n), None
-    while before is None or (label != before).any():
-        before = label.copy()
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
+    label = least_places(n, a, b)
     own = np.flatnonzero(label != np.arange(n))
     return fp[own], fp[label[own]]
 
