@@ -1,14 +1,14 @@
 """GIF as a media column: an encoder, a full decoder, and a table of timed frames with colour histograms.
 
 The decoder reads LZW code streams of any code size, applies global and local palettes, interlacing, transparency and
-the disposal rules, and returns the timed frames both as stored samples and as composed colours. Streams
-of bare literals, as the encoder writes them, are decoded with array operations; any other stream goes
-through the dictionary.
+the disposal rules, and returns the timed frames both as stored samples and as composed colours. How wide a code is depends on
+its place after the last clear code alone, so codes are cut from the bits in runs; each then goes through the dictionary. The
+encoder grows the same dictionary and clears it when it is full.
 
 A document's text is stored as the samples of a greyscale GIF of 64 columns: the bytes of the text, filled up by zeros
 to whole rows, in frames of at most ``ROWS`` rows. Everything is in memory bounded by one document.
 
-Defined cases: a null text is an empty one, and an empty one still has one row of zeros; equal texts give
+Defined cases: a null text is an empty one, and an empty one still has one row of zeros; a long text takes more frames; equal texts give
 equal values; a GIF that breaks off gives the frames that are whole and is marked as truncated; what is no GIF raises
 ValueError; an empty table gives an empty one; other columns are ignored.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from hashlib import sha256
 from zlib import crc32
 
@@ -30,23 +31,56 @@ WIDTH = 64
 ROWS = 4096
 DELAY = 10
 BINS = 8
-#: Literals between two clear codes: with an 8-bit alphabet the dictionary then never needs a tenth bit.
-RUN = 254
+#: Fixed by the format: entries of a full dictionary, and the most bits of a code.
+FULL, WIDEST = 4096, 12
+
+
+@lru_cache(12)
+def widths(size: int) -> np.ndarray:
+    """Bits of the code at each place after a clear code, for an alphabet of ``size`` bits; from the last place on they stay.
+
+    The first code adds nothing to the dictionary, each later one an entry, until it is full.
+    """
+    entries = np.minimum((1 << size) + 2 + np.maximum(np.arange(FULL + 2) - 1, 0), FULL)
+    return size + 1 + sum(entries >= 1 << w for w in range(size + 1, WIDEST))
+
+
+def code_stream(samples: bytes) -> list[int]:
+    """The codes of 8-bit samples: clear, the longest strings known so far, clear again when the dictionary is full, end."""
+    if not samples:
+        return [256, 257]
+    out, known, free, prefix = [256], {}, 258, samples[0]
+    emit = out.append
+    for byte in samples[1:]:
+        key = prefix << 8 | byte
+        if key in known:
+            prefix = known[key]
+            continue
+        emit(prefix)
+        prefix = byte
+        if free < FULL:
+            known[key] = free
+            free += 1
+        else:
+            emit(256)
+            known.clear()
+            free = 258
+    out += prefix, 257
+    return out
 
 
-def literal_stream(samples: np.ndarray) -> bytes:
-    """LZW codes of 8-bit samples: clear, up to RUN literals, clear and so on, end; nine bits each."""
-    n = len(samples)
-    runs = -(-n // RUN)
-    codes = np.full(runs * (RUN + 1), -1, np.int16).reshape(runs, RUN + 1)
-    codes[:, 0] = 256
-    padded = np.full(runs * RUN, -1, np.int16)
-    padded[:n] = samples
-    codes[:, 1:] = padded.reshape(runs, RUN)
-    flat = codes.ravel()
-    flat = np.append(flat[flat >= 0], 257).astype("<u2")
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")[:, :9]
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+def packed_codes(codes: list[int]) -> bytes:
+    """Codes of 8-bit samples as bits, the lowest first. The first code, a clear one, is as wide as any first code."""
+    value = np.array(codes, np.int64)
+    clears = np.flatnonzero(value == 256)
+    place = np.arange(len(value)) - np.repeat(clears, np.diff(np.append(clears, len(value)))) - 1
+    place[clears[1:]] = np.diff(clears) - 1  # a clear code is as wide as the code that would have stood there
+    place[0] = 0
+    bits = widths(8)[place]
+    ends = np.cumsum(bits)
+    at, spread = (ends - bits) >> 3, value << (ends - bits & 7)
+    out = sum(np.bincount(at + k, spread >> 8 * k & 255, (ends[-1] + 7 >> 3) + 2) for k in range(3))  # no bit is set twice
+    return out.astype(np.uint8)[: ends[-1] + 7 >> 3].tobytes()
 
 
 def blocks_of(data: bytes) -> bytes:
@@ -69,7 +103,7 @@ def encode(frames: list[np.ndarray], palette: bytes = GREYS, delay: int = DELAY)
     for f in frames:
         out.append(b"\x21\xf9\x04" + struct.pack("<BHBB", 1 << 2, delay, 0, 0))
         out.append(b"\x2c" + struct.pack("<HHHHB", 0, 0, f.shape[1], f.shape[0], 0) + b"\x08")
-        out.append(blocks_of(literal_stream(np.ascontiguousarray(f).ravel())))
+        out.append(blocks_of(packed_codes(code_stream(np.ascontiguousarray(f).tobytes()))))
     return b"".join([*out, b"\x3b"])
 
 
@@ -95,50 +129,67 @@ class Gif:
     truncated: bool
 
 
-def lzw(data: bytes, size: int, count: int) -> np.ndarray:
-    """``count`` samples of a code stream whose alphabet has ``size`` bits; fewer if it breaks off."""
-    clear, end = 1 << size, (1 << size) + 1
-    if size == 8:
-        bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-        codes = bits[: len(bits) // 9 * 9].reshape(-1, 9)
-        codes = np.packbits(codes, axis=1, bitorder="little")
-        codes = codes[:, 0].astype(np.int32) | codes[:, 1].astype(np.int32) << 8
-        stop = np.flatnonzero(codes == end)
-        if len(stop):
-            codes = codes[: stop[0]]
-            clears = np.flatnonzero(codes == clear)
-            gaps = np.diff(np.concatenate((clears, [len(codes)])))
-            if not len(codes) or (codes.max() <= clear and len(clears) and clears[0] == 0 and gaps.max() <= RUN + 1):
-                return codes[codes < clear][:count].astype(np.uint8)
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
-    table, width, bits_in, held, at, before, out, total = list(first), size + 1, 0, 0, 0, None, [], 0
-    while total < count:
-        while bits_in < width and at < len(data):
-            held |= data[at] << bits_in
-            bits_in, at = bits_in + 8, at + 1
-        if bits_in < width:
-            break
-        code = held & (1 << width) - 1
-        held, bits_in = held >> width, bits_in - width
-        if code == end:
-            break
-        if code == clear:
-            table, width, before = list(first), size + 1, None
+def codes_of(data: bytes, size: int) -> Iterator[list[int]]:
+    """The codes of a stream in runs, each from a clear code (or the start) to the next, which is left out; ends at the end code."""
+    raw, clear, at, start, run = np.frombuffer(data + b"\0\0", np.uint8).astype(np.int64), 1 << size, 0, 0, []
+    whole, narrow = 8 * len(data), widths(size)
+    while True:
+        wide = narrow[np.minimum(np.arange(start, start + min(FULL, (whole - at) // (size + 1) + 1)), FULL + 1)]
+        ends = at + np.cumsum(wide)
+        n = int(np.searchsorted(ends, whole, "right"))
+        if not n:
+            yield run
+            return
+        first = ends[:n] - wide[:n]
+        byte = first >> 3
+        codes = (raw[byte] | raw[byte + 1] << 8 | raw[np.minimum(byte + 2, len(raw) - 1)] << 16) >> (first & 7) & (1 << wide[:n]) - 1
+        stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
+        if not len(stop):
+            run += codes.tolist()
+            at, start = int(ends[n - 1]), start + n
             continue
-        if code < len(table):
-            entry = table[code]
-        elif before is not None and code == len(table):
-            entry = before + before[:1]
-        else:
-            break
-        if before is not None and len(table) < 4096:
-            table.append(before + entry[:1])
-            if len(table) == 1 << width and width < 12:
-                width += 1
-        before = entry
-        out.append(entry)
-        total += len(entry)
-    return np.frombuffer(b"".join(out)[:count], np.uint8)
+        run += codes[: stop[0]].tolist()
+        yield run
+        if codes[stop[0]] != clear:
+            return
+        at, start, run = int(ends[stop[0]]), 0, []
+
+
+def lzw(data: bytes, size: int, count: int) -> np.ndarray:
+    """``count`` samples of a code stream whose alphabet has ``size`` bits; fewer if it breaks off.
+
+    The dictionary is kept as a tree: the entry that the code at place k of a run adds is that code's string and the
+    first sample of the next. So a later code for it has place k as its parent, and its string is the parent's and one sample more.
+    """
+    base, parts, starts, n = (1 << size) + 2, [], [], 0
+    for run in codes_of(data, size):
+        parts.append(np.array(run, np.int64))
+        starts.append(np.full(len(run), n))
+        n += len(run)
+    if not n:
+        return np.zeros(0, np.uint8)
+    code, start = np.concatenate(parts), np.concatenate(starts)
+    parent = np.where(code >= base, code - base + start, np.arange(n))
+    wrong = np.flatnonzero((code >= base) & (parent >= np.arange(n)))
+    if len(wrong):  # no entry has that number yet
+        n = int(wrong[0])
+        code, parent = code[:n], parent[:n]
+    root, length, up = np.arange(n), np.ones(n, np.int64), np.flatnonzero(code >= base)
+    while len(up):
+        root[up] = parent[root[up]]
+        length[up] += 1
+        up = up[code[root[up]] >= base]
+    first = code[root]
+    after = np.minimum(parent + 1, n - 1)
+    last = np.where(code >= base, first[after], code).astype(np.uint8)
+    ends = np.cumsum(length)
+    out, now, at = np.empty(int(ends[-1]) if n else 0, np.uint8), np.arange(n), ends - 1
+    left = length
+    while len(now):
+        out[at] = last[now]
+        deeper = np.flatnonzero(left > 1)
+        now, at, left = parent[now[deeper]], at[deeper] - 1, left[deeper] - 1
+    return out[:count]
 
 
 def interlaced(samples: np.ndarray) -> np.ndarray:
@@ -273,11 +324,13 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, doc in enumerate(batch.column(0).to_pylist()):
             media, n = stored(texts[i].as_py())
             gif = decode(media)
-            payload = b"".join(f.samples.tobytes() for f in gif.frames)
-            grey, cs = np.zeros(BINS, np.int64), 0
+            grey, cs, shown = np.zeros(BINS, np.int64), 0, []
             for f, (start, delay, canvas) in zip(gif.frames, composed(gif), strict=True):
-                grey += histogram(canvas[f.top : f.top + f.height, f.left : f.left + f.width])[:BINS]
+                painted = canvas[f.top : f.top + f.height, f.left : f.left + f.width]
+                grey += histogram(painted)[:BINS]
+                shown.append(painted[..., 0].tobytes())  # a grey's red is its sample
                 cs = start + delay
+            payload = b"".join(shown)
             feature = f"frames={len(gif.frames)};cs={cs};grey={','.join(map(str, grey.tolist()))}"
             for column, value in zip(columns, (doc, n, len(payload), sha256(payload).hexdigest(), crc32(payload[-64:]), len(media), sha256(media).hexdigest(), feature), strict=True):
                 column.append(value)
@@ -286,7 +339,7 @@ def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
-    """Each text as a GIF, read back: DIGEST's columns. The feature counts the colours of what each frame paints, as composed."""
+    """Each text as a GIF, read back: DIGEST's columns. Payload and feature come from what each frame paints, as composed."""
     return docs.select("doc_id", "text").mapInArrow(digests, DIGEST)
 
 

@@ -140,7 +140,7 @@ def test_long_runs_and_full_dictionaries():
     rng = np.random.default_rng(1)
     for samples in (np.zeros(50_000, np.uint8), rng.integers(0, 256, 60_000).astype(np.uint8)):
         assert (media.lzw(compress(samples.tolist(), 8), 8, len(samples)) == samples).all()
-        assert (media.lzw(media.literal_stream(samples), 8, len(samples)) == samples).all()
+        assert (media.lzw(media.packed_codes(media.code_stream(samples.tobytes())), 8, len(samples)) == samples).all()
 
 
 def picture(w, h, parts, palette=b"\0\0\0\xff\0\0\0\xff\0\0\0\xff"):
