@@ -9,7 +9,8 @@ preformatted text, paragraphs are apart by a blank line, other blocks by a line
 indents, and table cells stand in aligned columns, spans included.
 
 Defined cases: a null or empty page has an empty text; broken or cut tags never raise, an unclosed tag or comment ends
-the page as in browsers; repeated rows give equal texts; an empty table gives an empty one; other columns are ignored.
+the page as in browsers; pages of any length are taken whole, and cells that span many rows and columns cost no more than others;
+of attributes and titles that repeat the first counts; repeated rows give equal texts; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -340,6 +341,17 @@ def render(node: Node, out: Layout, rules: dict[str, str], pre: bool = False, un
             render(child, out, rules, space, hidden)
 
 
+def joined(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Neighbours that end in the same row as one; sorted."""
+    out: list[tuple[int, int, int]] = []
+    for one in spans:
+        if out and out[-1][2] == one[2] and one[0] <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], one[1]), one[2])
+        else:
+            out.append(one)
+    return out
+
+
 def grid(table: Node, rules: dict[str, str], unseen: bool) -> list[str]:
     """A table's caption and rows, its cells in aligned columns."""
     out, rows, last, loose = Layout(), [], [], []
@@ -368,9 +380,10 @@ def grid(table: Node, rules: dict[str, str], unseen: bool) -> list[str]:
         render(holder, out, rules, False, unseen)
         out.block()
     cells: list[list[tuple[int, int, list[str]]]] = []
-    taken: dict[tuple[int, int], bool] = {}
+    spans: list[tuple[int, int, int]] = []  # columns from, to, and the row that is free again, of cells that reach down
     for y, row in enumerate(rows + last):
-        x, line = 0, []
+        spans = [s for s in spans if s[2] > y]
+        x, line, nth, down = 0, [], 0, []
         for cell in row.children:
             if isinstance(cell, str):
                 if not cell.strip(" \t\n\r\f"):
@@ -385,24 +398,29 @@ def grid(table: Node, rules: dict[str, str], unseen: bool) -> list[str]:
             style = styled(cell, rules) if cell.attributes or rules else ""
             if cell.tag in UNSEEN or "hidden" in cell.attributes or NONE.search(style):
                 continue
-            while (y, x) in taken:
-                x += 1
+            while nth < len(spans) and spans[nth][0] <= x:
+                x = max(x, spans[nth][1])
+                nth += 1
             part = Layout()
             render(cell, part, rules, bool(KEPT.search(style)), True if HIDDEN.search(style) else unseen and not SHOWN.search(style))
             wide, high = number(cell.attributes.get("colspan"), 1, 1000), number(cell.attributes.get("rowspan"), 1, len(rows) + len(last) - y)
-            for down in range(1, min(high, 1000)):
-                for right in range(wide):
-                    taken[y + down, x + right] = True
+            if high > 1:
+                if down and down[-1][1:] == (x, y + min(high, 1000)):
+                    down[-1] = (down[-1][0], x + wide, down[-1][2])
+                else:
+                    down.append((x, x + wide, y + min(high, 1000)))
             line.append((x, wide, part.done()))
             x += wide
         cells.append(line)
+        if down:
+            spans = joined(sorted(spans + down))
     widths: dict[int, int] = {}
     for line in cells:
         for x, wide, lines in line:
             if wide == 1:
                 widths[x] = max([widths.get(x, 0), *(len(s) for s in lines if len(s) <= COLUMN)])
     starts, at = {}, 0
-    for x in range(max((x + wide for line in cells for x, wide, _ in line), default=0) + 1):
+    for x in sorted({x for line in cells for x, _, _ in line} | set(widths)):  # only columns where something stands
         starts[x] = at
         at += widths[x] + 2 if x in widths else 0
     for line in cells:
