@@ -8,8 +8,9 @@ about as many steps as there are lengths, whatever the number of documents. Only
 (at most ``capacity`` rows) and the plan (a few rows for each length) pass through the driver; ranks within a
 length, dealt out over salted parts, match documents to places.
 
-Defined cases: a null or empty text has the end id alone; repeated rows are packed each; equal rows may
-swap places, which changes nothing; an empty table gives an empty one; other columns are ignored.
+Defined cases: a null or empty text has the end id alone; a text of any length is cut into as many windows as it fills;
+repeated rows are packed each; equal rows may swap places, which changes nothing; pieces of equal length tie and are ranked by a
+hash of their document; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,24 +29,36 @@ from ledgerlight.llm.tokens import word_ids, word_tokenizer_path
 
 CAPACITY = 4096
 END = 2
+#: Bytes of ids in a batch that leaves a Python worker.
+BATCH = 4 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 def cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) to pieces of at most ``capacity`` ids."""
+    """(doc_id, text) to pieces of at most ``capacity`` ids, in batches of about ``BATCH`` bytes of ids."""
     known, last = word_ids(path), np.array([end], "<u4").tobytes()
+    rows: list[tuple] = []
+    held = 0
+
+    def flush() -> pa.RecordBatch:
+        nonlocal rows, held
+        columns, rows, held = list(zip(*rows, strict=True)), [], 0
+        arrays = [pa.array(c, pa.int64()) for c in columns[:5]] + [pa.array(columns[5], pa.binary())] * with_ids
+        return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+
     for batch in batches:
-        rows: list[list] = [[], [], [], [], [], []]
         texts = batch.column(1)
         for i, doc in enumerate(batch.column(0).to_pylist()):
             ids = known.encode(texts[i].as_py()) + last
             n = len(ids) // 4
             for start in range(0, n, capacity):
                 piece = ids[4 * start : 4 * (start + capacity)]
-                for column, value in zip(rows, (doc, start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None), strict=True):
-                    column.append(value)
-        arrays = [pa.array(c, pa.int64()) for c in rows[:5]] + [pa.array(rows[5], pa.binary())] * with_ids
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])
+                rows.append((doc, start, len(piece) // 4, zlib.crc32(piece), n, piece if with_ids else None))
+            held += len(ids)
+            if held >= BATCH:
+                yield flush()
+    if rows:
+        yield flush()
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -91,16 +104,19 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return places
 
 
-def place(batches: Iterator[pa.RecordBatch], places: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Replace the rank within a length by the window and the offset in it. places: sorted by length and first rank."""
-    keys = places[:, 0] << 44 | places[:, 1]
-    for batch in batches:
-        rank, length = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("rank", "length"))
-        at = places[np.searchsorted(keys, length << 44 | rank, "right") - 1] if len(rank) else np.zeros((0, 6), np.int64)
-        nth = rank - at[:, 1]
-        kept = [c for c in batch.schema.names if c != "rank"]
-        new = [pa.array(at[:, 4] + nth // np.maximum(at[:, 3], 1)), pa.array(at[:, 5] + nth % np.maximum(at[:, 3], 1) * length)]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + new, names=[*kept, "sequence_id", "offset"])
+PLACES = "length long, places array<struct<first:long,each:long,window:long,offset:long>>"
+
+
+def placed(ranked: DataFrame, places: list[tuple[int, int, int, int, int, int]]) -> DataFrame:
+    """The rank within a length to ``sequence_id`` and ``offset``, by the plan, whose rows are a few for each length."""
+    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
+    for length, first, _, each, window, offset in sorted(places):
+        by_length.setdefault(length, []).append((first, each, window, offset))
+    lookup = F.broadcast(ranked.sparkSession.createDataFrame(list(by_length.items()), PLACES))
+    found = ranked.join(lookup, "length").withColumn("at", F.element_at(F.filter("places", lambda p: p["first"] <= F.col("rank")), -1)).drop("places")
+    nth = F.col("rank") - F.col("at.first")
+    sequence = F.col("at.window") + F.call_function("div", nth, F.col("at.each"))
+    return found.withColumns({"sequence_id": sequence, "offset": F.col("at.offset") + nth % F.col("at.each") * F.col("length")}).drop("at", "rank")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -110,10 +126,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     cutter = partial(cut, path=tokenizer or word_tokenizer_path(), end=end, capacity=capacity, with_ids=with_ids)
     pieces = work.table(docs.select("doc_id", "text").mapInArrow(cutter, schema), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    places = np.array(sorted(plan(counts, capacity)) or np.zeros((0, 6)), np.int64)
-    ranked = running_total(pieces.withColumn("one", F.lit(1)), ["length"], "one", [F.xxhash64("doc_id", "start"), F.col("doc_id"), F.col("start")], "rank")
+    ranked = running_total(pieces.withColumn("one", F.lit(1).cast("long")), ["length"], "one", [F.xxhash64("doc_id", "start"), F.col("doc_id"), F.col("start")], "rank")
     columns = [c.split()[0] for c in schema.split(", ")]
-    return ranked.select(*columns, "rank").mapInArrow(partial(place, places=places), schema + ", sequence_id long, offset long")
+    return placed(ranked.select(*columns, "rank"), plan(counts, capacity)).select(*columns, "sequence_id", "offset")
 
 
 def op10_pack(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,28 @@ def byte_signs() -> str:
     return "".join(chr(b if b in seen else next(rest)) for b in range(256))
 
 
+#: Fixed by the tokenizer's file: the settings under which words can be encoded apart.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "post_processor": None, "truncation": None, "padding": None,
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "byte_fallback": False, "ignore_merges": False}
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer's file has the settings that let its words be encoded apart and plain ones by the merges alone."""
+    import json
+
+    with open(path) as file:
+        found = json.load(file)
+    alone = all(not (a["normalized"] or a["lstrip"] or a["rstrip"] or a["single_word"] or a["content"].isalpha()) and a["content"].split() == [a["content"]] for a in found.get("added_tokens") or [])
+    return alone and all(found.get(k) == v for k, v in APART.items()) and all(found["model"].get(k, v) == v for k, v in MODEL.items())
+
+
 class WordIds(dict):
     """Bytes of a word to the bytes of its little-endian unsigned ids.
 
@@ -33,7 +55,7 @@ class WordIds(dict):
     are then those of its runs of other bytes, one after the other. Only ASCII white space splits here, as every
     such tokenizer counts it as white space; other spaces stay inside a run. A run of plain letters, with marks after it or
     none, goes straight to the tokenizer's merges, as its own splitting would part it there; any other
-    goes through the whole tokenizer.
+    goes through the whole tokenizer. A tokenizer of other settings (``splits_words``) gets whole texts.
     """
 
     def __init__(self, path: str, width: int = 4):
@@ -43,6 +65,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.width = Tokenizer.from_file(path), width
         self.model, self.signs = self.tokenizer.model, str.maketrans(dict(enumerate(byte_signs())))
+        self.apart, self.code = splits_words(path), "I" if width == 4 else "H"
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= REMEMBERED:
@@ -58,11 +81,13 @@ class WordIds(dict):
         else:
             small = word.lower() if word.isascii() else word.decode().lower().encode()
             ids = [t.id for t in self.model.tokenize(small.decode("latin-1").translate(self.signs))]
-        out = self[word] = array("I" if self.width == 4 else "H", ids).tobytes()
+        out = self[word] = array(self.code, ids).tobytes()
         return out
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text; null is an empty text."""
+        if not self.apart:
+            return array(self.code, self.tokenizer.encode(text or "", add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, (text or "").encode().split()))
 
 

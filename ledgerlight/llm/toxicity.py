@@ -5,12 +5,16 @@ logistic(threshold k - margin). The fit is penalised maximum likelihood by adapt
 sample of labelled rows. Scoring takes all documents, whole, in one pass without a shuffle, and gives the
 expected severity.
 
-Labels that mark toxic documents only (0 or 1) are graded first: a marked row has grade 2 if it holds more
-different tell-tale n-grams than the median marked row, else 1. Labels above 1 are taken as grades.
+The labels are the grades, as many as they have; each but the lowest has a threshold. Labels that only mark toxic documents (0 or 1) make
+two grades and one threshold, and the expected severity is then the chance of being toxic: nothing in such labels tells how severe a
+document is, so no further grade is made up.
 
-Defined cases: a null or empty text has the severity of no feature; without labels of two grades the severity of all is
-the mean grade seen (0 without any); repeated rows are scored alike; an empty table gives an empty one; other
-columns are ignored.
+The fit keeps the ``kept`` features that part toxic from other rows most surely, by the log odds ratio over its standard error; the
+others have no weight. It is a parameter: more features cost memory of the model and gain little beyond some thousands.
+
+Defined cases: a null or empty text has the severity of no feature; a long text counts whole, each feature once; features that tie at the last
+place kept are taken in the order of their hashes; without labels of two grades the severity of all is the mean grade seen (0 without
+any); repeated rows are scored alike; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ from ledgerlight.llm.features import Linear
 from ledgerlight.llm.learning import MAX_ROWS, held_out, training, vocabulary
 from ledgerlight.llm.quality import scored
 
-#: Features kept, those that part toxic from other rows most surely.
+#: Features with a weight.
 KEPT = 3000
 #: Of being toxic at all; below a half, as a missed document costs more than a second look.
 THRESHOLD = 0.3
@@ -41,36 +45,23 @@ class Ordinal:
         return self.linear.margins(texts, wanted)
 
 
-def surprise(rows: list[np.ndarray], marked: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each feature, the log odds ratio between marked and other rows, and the ratio over its standard error."""
+def sureness(rows: list[np.ndarray], marked: np.ndarray, size: int) -> np.ndarray:
+    """Of each feature, the log odds ratio between marked and other rows over its standard error."""
     counts = [np.bincount(np.concatenate([r for r, m in zip(rows, marked, strict=True) if m == k] or [np.zeros(0, np.int64)]), minlength=size) + 0.5 for k in (True, False)]
     totals = marked.sum() + 1, (~marked).sum() + 1
     ratio = np.log(counts[0] / (totals[0] - counts[0] + 0.5)) - np.log(counts[1] / (totals[1] - counts[1] + 0.5))
-    return ratio, ratio / np.sqrt(sum(1 / c for c in counts))
-
-
-def graded(y: np.ndarray, rows: list[np.ndarray], ratio: np.ndarray, sure: np.ndarray) -> np.ndarray:
-    """0/1 marks as grades 0, 1 and 2, by the number of tell-tale features."""
-    if y.max(initial=0) > 1:
-        return y
-    tell = (ratio > 2) & (sure > 4)
-    number = np.array([tell[r].sum() for r in rows])
-    middle = np.median(number[y == 1]) if (y == 1).any() else 0
-    return np.where(y == 1, 1 + (number > middle), 0)
+    return ratio / np.sqrt(sum(1 / c for c in counts))
 
 
-def fit(y: np.ndarray, x: list[np.ndarray], least: int = 5, penalty: float = 0.3, steps: int = 300) -> Ordinal:
-    """y: marks or grades from 0. x: each row's features."""
+def fit(y: np.ndarray, x: list[np.ndarray], least: int = 5, penalty: float = 0.3, steps: int = 300, most: int = KEPT) -> Ordinal:
+    """y: grades from 0. x: each row's features. most: features with a weight."""
     features, rows = vocabulary(x, least)
     grades = int(y.max(initial=0))
     if len(set(y.tolist())) < 2 or not len(features):
         mean = float(y.mean()) if len(y) else 0.0
         share = min(max(mean / max(1, grades), 1e-6), 1 - 1e-6)
         return Ordinal(Linear(np.zeros(0, np.uint32), np.zeros(0), 0.0), [-float(np.log(share / (1 - share)))] * max(1, grades))
-    ratio, sure = surprise(rows, y > 0, len(features))
-    y = graded(y, rows, ratio, sure)
-    grades = int(y.max())
-    kept = np.sort(np.argsort(-np.abs(sure), kind="stable")[:KEPT])
+    kept = np.sort(np.argsort(-np.abs(sureness(rows, y > 0, len(features))), kind="stable")[:most])
     place = np.full(len(features), -1)
     place[kept] = np.arange(len(kept))
     rows = [place[r][place[r] >= 0] for r in rows]
@@ -103,14 +94,15 @@ def above(model: Ordinal) -> list[Column]:
     return [1 / (1 + F.exp(F.lit(t) - F.col("score"))) for t in model.thresholds]
 
 
-def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Ordinal:
-    y, x = training(docs, labels, "toxic", max_rows, heads=True)
+def trained(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, label: str = "toxic", kept: int = KEPT) -> Ordinal:
+    """A model of the grades in a column of ``labels``; negative ones are passed over."""
+    y, x = training(docs, labels, label, max_rows, heads=True)
     used = np.flatnonzero(y >= 0)
-    return fit(y[used], [x[i] for i in used])
+    return fit(y[used], [x[i] for i in used], most=kept)
 
 
 def severities(docs: DataFrame, model: Ordinal, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, severity (expected grade), p_toxic, grade (the last that is likelier than not), toxic (0 or 1)."""
+    """doc_id, held_out, severity (expected grade), p_toxic, grade (the last that is reached with a chance of ``threshold`` or more), toxic (0 or 1)."""
     margins = docs.select("doc_id", "text").mapInArrow(partial(scored, model=model), "doc_id long, score double")
     chances = above(model)
     grade = sum((c >= threshold).cast("int") for c in chances[1:]) + (chances[0] >= threshold).cast("int")
