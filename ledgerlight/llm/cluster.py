@@ -5,7 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes of texts that go to a Python worker at a time.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
 class Workspace:
     """Tables that cut the lineage: Parquet in the shared folder, so that a lost executor costs no upstream work.
 
@@ -35,6 +42,8 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        for key, most in BATCHES.items():  # a worker holds a batch and what it makes of it
+            spark.conf.set(key, most)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         path = self._path(self.root)
         store = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -54,6 +63,23 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def whole_tiles(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 4096) -> Iterator[pa.Table]:
+    """Sorted rows as tables of about ``rows``, none of which ends inside rows of equal ``keys`` (numbers)."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        more = pa.Table.from_batches([batch])
+        rest = more if rest is None else pa.concat_tables([rest, more]).combine_chunks()
+        if rest.num_rows > rows:
+            change = np.flatnonzero(np.any([(c := rest.column(k).to_numpy())[1:] != c[:-1] for k in keys], axis=0))
+            if len(change) and change[-1] >= rows:
+                yield rest.slice(0, int(change[-1]) + 1)
+                rest = rest.slice(int(change[-1]) + 1)
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
 def wrapped(df: DataFrame) -> DataFrame:
     """The rows as one column ``row``, so that no name of theirs meets those that an operator adds; ``row.*`` unwraps them."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlight.llm.cluster import Workspace, wrapped
+from ledgerlight.llm.cluster import Workspace, whole_tiles, wrapped
 from ledgerlight.llm.components import components, least_places
 
 SEED = 42
@@ -127,26 +127,17 @@ def linked(group: np.ndarray, fp: np.ndarray, bits: int) -> tuple[np.ndarray, np
     return fp[own], fp[label[own]]
 
 
-def compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """(list, i, j, fp), sorted, to edges; the rows of a tile may go over batches."""
-    names = ["list", "i", "j", "fp"]
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+def groups(table: pa.Table, keys: list[str]) -> np.ndarray:
+    """The number of the group of equal ``keys``, of sorted rows."""
+    new = np.any([(c := table.column(k).to_numpy())[1:] != c[:-1] for k in keys], axis=0)
+    return np.concatenate(([0], np.cumsum(new)))
 
-    def flush(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        if len(columns[0]):
-            new = np.any([c[1:] != c[:-1] for c in columns[:3]], axis=0)
-            u, v = linked(np.concatenate(([0], np.cumsum(new))), columns[3].view(np.uint64), bits)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest = [np.concatenate((r, batch.column(c).to_numpy(zero_copy_only=False))) for r, c in zip(rest, names, strict=True)]
-        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in rest[:3]], axis=0))
-        if len(change) and change[-1] >= 4096:
-            yield from flush([c[: change[-1] + 1] for c in rest])
-            rest = [c[change[-1] + 1 :] for c in rest]
-    yield from flush(rest)
+def compare(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    """(list, i, j, fp), sorted, to edges."""
+    for tile in whole_tiles(batches, ["list", "i", "j"]):
+        u, v = linked(groups(tile, ["list", "i", "j"]), tile.column("fp").to_numpy().view(np.uint64), bits)
+        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
 
 def links(work: Workspace, nodes: DataFrame, bits: int) -> DataFrame:
