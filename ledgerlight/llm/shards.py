@@ -5,14 +5,22 @@ Texts become ids and an end id, and the ids of a task's documents, one after the
 by task and row, and the counts of the tasks turn that into numbers from 0 to n - 1. A keyed Feistel network permutes the
 numbers: it is a bijection on the next power of two, and whatever falls outside is sent through again until it falls
 inside (cycle-walking). The permuted number is the sequence's slot. Slots are dealt by ranges to shards, one a
-task; the task writes its records in order to a file of its own and then renames it, so a lost or repeated task
-leaves whole files only. A record is at ``row * stride`` of its shard, so a reader may start at any slot and needs
+task. A record is at ``row * stride`` of its shard, so a reader may start at any slot and needs
 nothing but the last slot it read.
 
+A task that writes a shard, first or again, writes a file of its own in a folder of attempts. Spark keeps the rows of one attempt for each
+task, and those name the file; so the kept files, and no others, are then moved to their places. A move that was already made is
+passed over, so that step may be repeated too. The manifest comes last, and the folder of attempts goes.
+
+``order="input"`` takes the documents as the tasks read them: the same input, settings and cluster give the same order. ``order="data"``
+first deals the documents by a hash of doc_id and text to parts whose number comes from the size of the texts, and sorts
+them there, so that the order depends on the documents alone; that is one more exchange, of all texts.
+
 A record is its ids, little-endian, filled up by zeros. Which documents a sequence holds is in the table that comes with the shards: ``docs``, a
 list of (doc_id, start in the document's ids, length).
 
-Defined cases: a null or empty text is the end id alone; repeated rows come each; an empty table writes no shard; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a text longer than a sequence goes on in the next; repeated rows come each, and
+rows that tie in the order are equal; an empty table writes no shard; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +43,9 @@ from ledgerlight.llm.tokens import word_ids, word_tokenizer_path
 LENGTH, END, KEY = 2048, 2, 20240229
 SHARD_BYTES = 64 << 20
 ROUNDS = 6
+#: Characters of the texts in a part of ``order="data"``, about.
+PART_CHARS = 64 << 20
+ATTEMPTS = "_attempts"
 
 
 def scramble(x: np.ndarray, key: int, bits: int) -> np.ndarray:
@@ -137,56 +148,92 @@ WRITTEN = "slot long, shard int, row long, length int, docs array<struct<doc_id:
 
 
 def write(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordBatch]:
-    """Sorted sequences to shard files; a row for each record."""
+    """Sorted sequences to a file of this attempt for each shard; a row for each record, with the attempt."""
     from pyarrow.fs import FileSystem
     from zstandard import ZstdDecompressor
 
     store, folder = FileSystem.from_uri(m.root)
+    store.create_dir(f"{folder}/{ATTEMPTS}", recursive=True)
     whole = ZstdDecompressor().decompress
     attempt, shard, out = TaskContext.get().taskAttemptId(), None, None
-
-    def finish() -> None:
+    try:
+        for batch in batches:
+            slot, ids = batch.column("slot").to_numpy(), batch.column("ids")
+            at, sums = slot // m.rows, []
+            for i in range(batch.num_rows):
+                if at[i] != shard:
+                    if out is not None:
+                        out.close()
+                    shard = int(at[i])
+                    out = store.open_output_stream(f"{folder}/{ATTEMPTS}/{shard:06d}.{attempt}")
+                record = whole(ids[i].as_py()).ljust(m.stride, b"\0")
+                out.write(record)
+                sums.append(crc32(record))
+            arrays = [pa.array(slot), pa.array(at.astype(np.int32)), pa.array(slot % m.rows), batch.column("length"), batch.column("docs"), pa.array(sums, pa.int64()), pa.array(np.full(len(slot), attempt))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["slot", "shard", "row", "length", "docs", "record_crc32", "attempt"])
+    finally:
         if out is not None:
             out.close()
-            store.move(f"{folder}/.shard-{shard:06d}.{attempt}", f"{folder}/shard-{shard:06d}.bin")
 
+
+def settled(batches: Iterator[pa.RecordBatch], m: Manifest) -> Iterator[pa.RecordBatch]:
+    """Move the kept attempt of each (shard, attempt, records) to its place; a place that is already filled whole stays."""
+    from pyarrow.fs import FileSystem, FileType
+
+    store, folder = FileSystem.from_uri(m.root)
     for batch in batches:
-        slot, ids = batch.column("slot").to_numpy(), batch.column("ids")
-        at, sums = slot // m.rows, []
-        for i in range(batch.num_rows):
-            if at[i] != shard:
-                finish()
-                shard = int(at[i])
-                out = store.open_output_stream(f"{folder}/.shard-{shard:06d}.{attempt}")
-            record = whole(ids[i].as_py()).ljust(m.stride, b"\0")
-            out.write(record)
-            sums.append(crc32(record))
-        arrays = [pa.array(slot), pa.array(at.astype(np.int32)), pa.array(slot % m.rows), batch.column("length"), batch.column("docs"), pa.array(sums, pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["slot", "shard", "row", "length", "docs", "record_crc32"])
-    finish()
-
-
-def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, key: int = KEY, width: int = 2, root: str | None = None, shard_bytes: int = SHARD_BYTES) -> tuple[Manifest, DataFrame]:
+        for shard, attempt, records in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            place, size = f"{folder}/shard-{shard:06d}.bin", records * m.stride
+            if store.get_file_info(place).size != size:
+                try:
+                    store.move(f"{folder}/{ATTEMPTS}/{shard:06d}.{attempt}", place)
+                except OSError:
+                    if store.get_file_info(place).type != FileType.File:  # else a task beside this one has moved it
+                        raise
+            if store.get_file_info(place).size != size:
+                raise OSError(f"{place} doesn't hold {records} records")
+        yield batch.select([0])
+
+
+def by_data(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in an order that depends on them alone: each part is a task, sorted by the hash that dealt it."""
+    named = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("hash"), F.xxhash64(F.lit(1), "doc_id", "text").alias("again"))
+    chars = named.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    parts = 1 << max(0, (chars // PART_CHARS).bit_length())
+    part = F.pmod(F.col("hash"), F.lit(parts)).cast("int")
+    return named.repartitionById(parts, part).sortWithinPartitions("hash", "again", "doc_id").select("doc_id", "text")
+
+
+def materialise(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, key: int = KEY, width: int = 2, root: str | None = None, shard_bytes: int = SHARD_BYTES, order: str = "input") -> tuple[Manifest, DataFrame]:
     """Write the shards under ``root`` (the shared folder by default). The table has a row per sequence: WRITTEN's columns."""
+    if order not in ("input", "data"):
+        raise ValueError("the order is by input or by data")
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
     cutter = partial(sequences, path=tokenizer or word_tokenizer_path(), end=end, length=length, width=width)
-    staged = work.table(docs.select("doc_id", "text").mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences")
+    source = by_data(docs) if order == "data" else docs.select("doc_id", "text")
+    staged = work.table(source.mapInArrow(cutter, f"task int, row long, {SEQUENCES}"), "sequences")
     counts = sorted((r.task, r.n) for r in staged.groupBy("task").agg(F.count("*").alias("n")).collect())
     n, first = 0, {}
     for task, rows in counts:
         first[task] = n
         n += rows
     m = Manifest(root or f"{work.root}/files", n, length, width, key, max(1, shard_bytes // (length * width)))
+    placed = staged.mapInArrow(partial(slotted, first=first, n=n, key=key), f"slot long, {SEQUENCES}")
+    shard = F.call_function("div", F.col("slot"), F.lit(m.rows)).cast("int")
+    dealt = placed.repartitionById(max(1, m.shards), shard).sortWithinPartitions("slot")
+    written = work.table(dealt.mapInArrow(partial(write, m=m), f"{WRITTEN}, attempt long"), "written")
+    kept = written.groupBy("shard", "attempt").agg(F.count("*").alias("records"))
+    moved = kept.mapInArrow(partial(settled, m=m), "shard int").agg(F.count("*").alias("n")).first().n
+    if moved != m.shards:
+        raise RuntimeError(f"{moved} of {m.shards} shards are in place")
     path = work._path(f"{m.root}/manifest.json")
     store = path.getFileSystem(spark._jsc.hadoopConfiguration())
     stream = store.create(path, True)
     stream.write(bytearray(json.dumps(asdict(m)).encode()))
     stream.close()
-    placed = staged.mapInArrow(partial(slotted, first=first, n=n, key=key), f"slot long, {SEQUENCES}")
-    shard = F.call_function("div", F.col("slot"), F.lit(m.rows)).cast("int")
-    dealt = placed.repartitionById(max(1, m.shards), shard).sortWithinPartitions("slot")
-    return m, work.table(dealt.mapInArrow(partial(write, m=m), WRITTEN), "written")
+    store.delete(work._path(f"{m.root}/{ATTEMPTS}"), True)
+    return m, written.drop("attempt")
 
 
 def read(m: Manifest, slot: int = 0, count: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
