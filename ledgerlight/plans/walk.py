@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlight.functions.stats import deflated_sharpe
-from ledgerlight.operators.model import Model, fit
+from ledgerlight.operators.model import fit
 from ledgerlight.operators.panel import FEATURES, Config, build_panel
 from ledgerlight.operators.scoring import score
-from ledgerlight.sources import tables
+from ledgerlight.sources.store import Store, key_of, now, unscored
 
 
 def models_before(days: DataFrame, models: DataFrame) -> DataFrame:
@@ -28,8 +25,9 @@ def models_before(days: DataFrame, models: DataFrame) -> DataFrame:
     return asof.where(F.col("through").isNull()).select("day", F.col("last").alias("through"))
 
 
-def panel_of(spark: SparkSession, layout: tables.Layout, days: list[str], cfg: Config) -> DataFrame:
-    return build_panel(tables.read_features(spark, [str(layout.feature_path(d)) for d in days]), cfg)
+def panel_from_files(spark: SparkSession, store: Store, days: list[str], cfg: Config) -> DataFrame:
+    """The panel over the feature files of several days; each (date, symbol) stands for itself."""
+    return build_panel(store.rows(spark, days), cfg)
 
 
 def walk(spark: SparkSession, root: str, cfg: Config = Config(), date: str = "all", alpha: float = 50.0, train_days: int = 20, cost: float = 0.5, rescore: bool = False, keyed_models: bool = False) -> list[dict]:
@@ -38,39 +36,36 @@ def walk(spark: SparkSession, root: str, cfg: Config = Config(), date: str = "al
     A day that is already scored or has no usable row is passed over, its model with it. ``keyed_models`` keeps a
     model folder for each configuration, so that no configuration is scored with another's model.
     """
-    layout = tables.Layout(Path(root))
-    days = layout.available_days()
     config = {"features": FEATURES, "horizon_s": cfg.horizon_s, "alpha": alpha, "train_days": train_days, "cost_multiplier": cost, "model": "ridge"}
-    name = tables.config_id(config)
-    trials, folder, added = tables.register_trial(layout, config), name if keyed_models else None, []
-    for day in days if date == "all" else [d for d in days if d == date]:
-        if not rescore and tables.already_scored(layout, day, name):
-            continue
-        panel = panel_of(spark, layout, [day], cfg).cache()
+    name, added = key_of(config), []
+    store = Store(root, name if keyed_models else "")
+    trials, every = store.tried(config), store.days
+    todo = [d for d in every if date in ("all", d)]
+    if todo and not rescore:
+        wanted = spark.createDataFrame([(d,) for d in todo], "day string")
+        todo = sorted(r.day for r in unscored(wanted, store.cards(spark).where(F.col("config_id") == name)).collect())
+    for day in todo:
+        panel = panel_from_files(spark, store, [day], cfg).cache()
         try:
-            if not panel.take(1):
+            if panel.isEmpty():
                 continue
-            prior = layout.model_trained_before(day, folder)
-            if prior is not None:
-                fitted = Model.from_json(prior.read_text())
+            if prior := store.newest(before=day):
+                file, fitted = prior
                 card = score(panel.withColumn("pred", fitted.prediction()), cfg.horizon_s, cost)
                 record = {
-                    "date": day, "config_id": name, "scored_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "model_file": prior.name, "model_trained_through": fitted.trained_through,
+                    "date": day, "config_id": name, "scored_at": now(), "model_file": file, "model_trained_through": fitted.trained_through,
                     "model_train_rows": fitted.n_train_rows, "model_fingerprint": fitted.train_fingerprint, "n_symbols": panel.select("symbol").distinct().count(),
                     "deflated_sharpe": deflated_sharpe(card.sharpe_per_bar, trials, card.n), "n_trials": trials, **card.as_dict(),
                 }
-                tables.append_score(layout, record)
+                store.add(record)
                 added.append(record)
         finally:
             panel.unpersist()
-        window = [d for d in days if d <= day][-train_days:]
-        train = panel_of(spark, layout, window, cfg).cache()
+        seen = every[: every.index(day) + 1][-train_days:]
+        train = panel_from_files(spark, store, seen, cfg).cache()
         try:
-            if train.take(1):
-                fitted = fit(train, alpha)
-                path = layout.model_path(day, folder)
-                path.parent.mkdir(parents=True, exist_ok=True)
-                path.write_text(fitted.to_json())
+            if not train.isEmpty():
+                store.keep(fit(train, alpha), day)
         finally:
             train.unpersist()
     return added

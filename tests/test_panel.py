@@ -9,7 +9,7 @@ from ledgerlight.functions import stats
 from ledgerlight.operators import model, panel, scoring
 from ledgerlight.operators.tape import FEATURES
 from ledgerlight.plans import brief, walk
-from ledgerlight.sources import tables
+from ledgerlight.sources import store, tables
 
 S = 1_000_000_000
 START = 1_577_457_000
@@ -163,7 +163,6 @@ def test_statistics():
     e = x - x.mean()
     hac = stats.newey_west_t(len(x), x.mean(), e @ e, [e[k:] @ e[:-k] for k in range(1, 11)])
     assert hac < 0.6 * naive and math.isnan(stats.newey_west_t(20, 1.0, 1.0, []))
-    assert stats.money(1.5e11) == "$1.5B" and stats.money(5000) == "$50"
     assert [stats.log_linear_bucket(v) for v in (0, 63, 64, 127, 128, 130)] == [0, 63, 64, 127, 128, 129]
 
 
@@ -193,40 +192,60 @@ def test_ridge_against_numpy(spark):
         model.fit(df.withColumn("fwd_bps", df.fwd_bps * 0))
 
 
-def test_store(tmp_path):
-    layout = tables.Layout(tmp_path)
-    for day in ("20200102", "20200103"):
-        layout.model_path(day).parent.mkdir(exist_ok=True)
-        layout.model_path(day).write_text("{}")
-    assert layout.model_trained_before("20200103").name == "model_20200102.json" and layout.model_trained_before("20200101") is None
-    assert [tables.register_trial(layout, {"a": a}) for a in (1, 1, 2, 3)] == [1, 1, 2, 3]
-    tables.append_score(layout, {"date": "20200102", "config_id": "x", "n": 1})
-    with layout.scorecard.open("a") as f:
+def test_store(spark, tmp_path):
+    kept = store.Store(tmp_path)
+    assert kept.days == [] and kept.newest() is None and kept.cards(spark).count() == 0
+    fitted = model.Model("20200102", ["20200102"], 1, panel.FEATURES, [0.0] * 11, 0.0, [0.0] * 11, [1.0] * 11, 1.0, 50.0, "f")
+    for day in ("20200103", "20200102"):
+        kept.keep(fitted, day)
+    assert kept.newest("20200103")[0] == "model_20200102.json" and kept.newest()[0] == "model_20200103.json" and kept.newest("20200102") is None
+    assert kept.newest()[1] == fitted and store.Store(tmp_path, "other").newest() is None
+    assert [kept.tried({"a": a}) for a in (1, 1, 2, 3)] == [1, 1, 2, 3] and kept.tried() == 3
+    assert set(json.loads((tmp_path / "trials.json").read_text())) == {store.key_of({"a": a}) for a in (1, 2, 3)}
+    kept.add({"date": "20200102", "config_id": "x", "n": 1, "net_bps": math.nan})
+    with (tmp_path / "scorecard.jsonl").open("a") as f:
         f.write("\n{broken\n")
-    tables.append_score(layout, {"date": "20200102", "config_id": "x", "n": 2})
-    assert len(tables.read_scores(layout)) == 2 and [r["n"] for r in tables.latest_scores(tables.read_scores(layout))] == [2]
-    assert tables.already_scored(layout, "20200102", "x") and not tables.already_scored(layout, "20200103", "x")
-
-
-def test_verdicts():
-    base = {"days": 30, "rows": 1000, "n_trials": 3, "ic": 0.05, "hit": 0.5, "gross_bps": 1.0, "net_bps": 0.5, "spread_bps": 1.0, "tradeable": 0.2, "reversal_ic": 0.01, "moved": 0.5, "t_across_days": 3.0, "dsr": 0.99}
-    first = lambda **c: brief.verdict(base | c)[0]
-    assert first().startswith("Survives") and first(net_bps=-1).startswith("No tradeable") and first(t_across_days=1.0).startswith("Positive")
-    assert first(dsr=0.5).startswith("Significant, but") and "baseline" in brief.verdict(base | {"reversal_ic": 0.2})[1] and "provisional" in brief.verdict(base | {"days": 3})[-1]
-    assert brief.verdict({}) == ["No scored day yet."]
+    kept.add({"date": "20200102", "config_id": "x", "n": 2, "net_bps": 0.5})
+    cards = kept.cards(spark)
+    assert [(r.n, math.isnan(r.net_bps)) for r in cards.orderBy("line").collect()] == [(1, True), (2, False)]
+    assert [r.n for r in store.latest(cards).collect()] == [2]
+    days = spark.createDataFrame([("20200102",), ("20200103",), ("20200103",)], "day string")
+    assert [r.day for r in store.unscored(days, cards).collect()] == ["20200103"]
+
+
+def test_judgements(spark):
+    base = {"days": 30, "rows": 1000, "n_trials": 3, "ic": 0.05, "net_bps": 0.5, "spread_bps": 1.0, "tradeable": 0.2, "reversal_ic": 0.01, "t_across_days": 3.0, "dsr": 0.99}
+    first = lambda **c: brief.judged(base | c)[0]
+    assert "holds against chance" in first() and first(net_bps=-1.0).startswith("Trading costs more") and "chance" in first(t_across_days=1.0) and "chance" in first(t_across_days=math.nan)
+    assert "luckiest of 3" in first(dsr=0.5) and "no net return" in first(net_bps=math.nan)
+    assert "IC +0.2000 to +0.0500" in brief.judged(base | {"reversal_ic": 0.2})[1] and "3 days" in brief.judged(base | {"days": 3})[-1]
+    assert len(brief.judged(base | {"net_bps": -1.0})) == 2 and len(brief.judged(base | {"net_bps": -1.0, "ic": 0.001})) == 2 and brief.judged(base) == [first()]
+    assert brief.judged(brief.record(spark.createDataFrame([], f"{store.CARD}, line bigint"), 1)) == ["Nothing has been scored so far."]
+
+
+def test_histogram_and_percentiles(spark):
+    values = [0, 1, 63, 64, 127, 128, 130, 1000, 10**6, 2**62] * 3 + [5] * 70
+    rows = spark.createDataFrame([(v,) for v in values], "v bigint")
+    counts = stats.histogram(rows, "v")
+    want = {}
+    for v in values:
+        want[stats.log_linear_bucket(v)] = want.get(stats.log_linear_bucket(v), 0) + 1
+    assert {r.bucket: r.n for r in counts.collect()} == want
+    got = {r.share: r.value for r in stats.percentiles(counts, [0.0, 0.5, 0.79, 0.9, 1.0]).collect()}
+    assert got == {0.0: 0, 0.5: 5, 0.79: 63, 0.9: 130, 1.0: 2**62}
 
 
 @pytest.mark.parametrize("signal", [True, False])
 def test_walk_forward_finds_what_is_there_and_nothing_else(spark, tmp_path, signal):
     cfg = panel.Config(warmup_s=0, min_rows_per_symbol=50, zscore_window=300, zscore_min_periods=60)
-    layout = tables.Layout(tmp_path)
+    kept = store.Store(tmp_path)
     for i, day in enumerate(("20200102", "20200103", "20200106")):
         frame = pd.concat([quotes(900, 10 * i + k, s, start=START + 86400 * i, signal=signal) for k, s in enumerate(("AAA", "BBB"))])
-        tables.write_features(table(spark, frame, day), str(layout.feature_path(day)))
+        tables.write_features(table(spark, frame, day), kept.place(day))
     added = walk.walk(spark, str(tmp_path), cfg, train_days=2)
     assert [r["date"] for r in added] == ["20200103", "20200106"] and all(r["model_trained_through"] < r["date"] for r in added)
     ic = np.mean([r["ic_spearman"] for r in added])
     assert ic > 0.05 if signal else abs(ic) < 0.1
     assert walk.walk(spark, str(tmp_path), cfg, train_days=2) == []
     report = brief.brief(spark, str(tmp_path), cfg)
-    assert "Session 20200106" in report and "pooled: 2 days" in report
+    assert "Session 20200106" in report and "pooled: 2 days" in report and kept.days == ["20200102", "20200103", "20200106"]
