@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ledgerlight.operators.fold import ordered_fold
+from ledgerlight.operators.fold import with_ordered_column
 from ledgerlight.operators.tape import SECOND
 
 #: In the order that models keep their coefficients in.
@@ -183,27 +183,25 @@ class RunningMedian:
 
 
 def running_median(table: DataFrame, keys: list[str], value: str, least: int) -> DataFrame:
-    """(keys, ts, seq, median): the median of ``value`` over the rows so far, null below ``least``."""
+    """Add ``median``: that of ``value`` over the rows so far, null below ``least``. The rows stay as they are, repeated ones too."""
 
     def start():
         seen = RunningMedian()
 
-        def step(row: tuple) -> tuple:
-            ts, seq, x = row[len(keys) :]
+        def step(x: float | None) -> float | None:
             if x is not None:
                 seen.add(x)
-            return ts, seq, seen.median() if seen.n >= least else None
+            return seen.median() if seen.n >= least else None
 
         return step
 
-    return ordered_fold(table.select(*keys, "ts", "seq", value), keys, ["ts", "seq"], start, "ts bigint, seq bigint, median double")
+    return with_ordered_column(table, keys, ["ts", "seq"], value, "median", start)
 
 
 def tradeable(table: DataFrame, keys: list[str], cfg: Config = Config()) -> DataFrame:
     """Rows that could have been traded: spread below the ceiling, a live book, round lots on both sides. Adds gap_s."""
     gap = F.coalesce(F.col("ts") - F.lag("ts").over(ordered(keys)), F.lit(0)) / float(SECOND)
-    medians = running_median(table, keys, "spread_bps", cfg.median_min_periods)
-    both = table.withColumn("gap_s", gap).join(medians, [*keys, "ts", "seq"])
+    both = running_median(table.withColumn("gap_s", gap), keys, "spread_bps", cfg.median_min_periods)
     top = F.least(F.lit(cfg.max_spread_bps), cfg.max_spread_ratio * F.coalesce("median", F.lit(cfg.max_spread_bps)))
     kept = (F.col("spread_bps") > 0) & (F.col("spread_bps") <= top) & (F.col("gap_s") <= cfg.max_gap_s)
     return both.where(kept & (F.col("bid_shares") >= cfg.min_touch_shares) & (F.col("ask_shares") >= cfg.min_touch_shares)).drop("median")

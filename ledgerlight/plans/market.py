@@ -8,10 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerlight.functions import wire
+from ledgerlight.functions import stats, wire
 from ledgerlight.operators import books, model, panel, scoring, tape
 from ledgerlight.plans import views
 from ledgerlight.sources import deep, itch
+from ledgerlight.sources.store import unscored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -307,7 +308,7 @@ final AS (SELECT a.symbol, a.side, a.price, coalesce(l.rest, a.shares) AS rest F
 lev AS (SELECT symbol, side, price, CAST(sum(rest) AS BIGINT) AS shares, CAST(count(*) AS BIGINT) AS orders FROM final WHERE rest > 0 GROUP BY ALL)
 SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS INT) AS level FROM lev) WHERE level <= 5""")
 def l3_level_book(spark, sf):
-    return books.order_levels(order_events(spark, sf), BY, 5)
+    return books.state_levels(books.order_book_states(views.orders(spark, sf), BY), BY, 5)
 
 
 @query(f"""WITH {L}, n AS (SELECT symbol, count(*) FILTER (WHERE msg_type = 'E' AND NOT unknown) AS executes, count(*) FILTER (WHERE msg_type = 'X' AND NOT unknown) AS cancels, count(*) FILTER (WHERE msg_type = 'D' AND NOT unknown) AS deletes,
@@ -318,7 +319,7 @@ a AS (SELECT symbol, count(*) AS adds FROM feed WHERE msg_type = 'A' GROUP BY sy
 SELECT a.symbol, adds, executes, cancels, deletes, unknown_ref_exec, unknown_ref_cancel, unknown_ref_delete, overfill, overcancel, adds - dead AS live_orders,
   unknown_ref_exec + unknown_ref_cancel + unknown_ref_delete + overfill + overcancel AS corruption FROM a JOIN n ON n.symbol = a.symbol""")
 def l3_diagnostics(spark, sf):
-    return books.diagnostics(order_events(spark, sf), BY).select("symbol", "adds", "executes", "cancels", "deletes", "unknown_ref_exec", "unknown_ref_cancel", "unknown_ref_delete", "overfill", "overcancel", "live_orders", "corruption")
+    return books.state_diagnostics(books.order_book_states(views.orders(spark, sf), BY), BY).select("symbol", "adds", "executes", "cancels", "deletes", "unknown_ref_exec", "unknown_ref_cancel", "unknown_ref_delete", "overfill", "overcancel", "live_orders", "corruption")
 
 
 @query(f"""WITH {L}, p AS (SELECT symbol, seq, shares, CASE WHEN unknown THEN 0 ELSE own_price END AS price FROM outcome WHERE msg_type = 'E')
@@ -357,7 +358,7 @@ def two(spark, sf):
 
 
 KEY = ["date", "symbol"]
-W = "PARTITION BY symbol ORDER BY ts, seq"
+W = "PARTITION BY date, symbol ORDER BY ts, seq"
 
 
 @query(f"WITH {Q} SELECT symbol, seq, ts, mid_x2, spread FROM two")
@@ -402,7 +403,7 @@ def feat_flow_norm(spark, sf):
     return panel.with_features(two(spark, sf), KEY).select("symbol", "seq", r6(F.col("signed_flow_norm")).alias("signed_flow_norm"))
 
 
-@query(f"""WITH {Q}, f AS (SELECT symbol, ts, seq, round(spread / 100.0, 8) AS x, CAST(trades AS DOUBLE) AS y FROM two),
+@query(f"""WITH {Q}, f AS (SELECT date, symbol, ts, seq, round(spread / 100.0, 8) AS x, CAST(trades AS DOUBLE) AS y FROM two),
 z AS (SELECT *, count(x) OVER w AS n, avg(x) OVER w AS mx, stddev_samp(x) OVER w AS sx, avg(y) OVER w AS my, stddev_samp(y) OVER w AS sy FROM f WINDOW w AS ({W} ROWS 199 PRECEDING))
 SELECT symbol, seq, round(CASE WHEN n >= 50 THEN CASE WHEN sx > 0 THEN (x - mx) / sx ELSE 0 END END, 6) AS spread_ticks, round(CASE WHEN n >= 50 THEN CASE WHEN sy > 0 THEN (y - my) / sy ELSE 0 END END, 6) AS trade_intensity FROM z""")
 def feat_zscore(spark, sf):
@@ -432,7 +433,7 @@ def running_median(spark, sf):
     return out.select("symbol", "seq", r6(F.col("median")).alias("median"))
 
 
-@query(f"""WITH {TRADEABLE}, f AS (SELECT *, min({{'ts': ts, 'seq': seq, 'mid_x2': mid_x2}}) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 30000000000 FOLLOWING AND 50000000000 FOLLOWING) AS nxt FROM kept)
+@query(f"""WITH {TRADEABLE}, f AS (SELECT *, min({{'ts': ts, 'seq': seq, 'mid_x2': mid_x2}}) OVER (PARTITION BY date, symbol ORDER BY ts RANGE BETWEEN 30000000000 FOLLOWING AND 50000000000 FOLLOWING) AS nxt FROM kept)
 SELECT symbol, seq, round(ln(nxt.mid_x2 / mid_x2) * 10000, 6) AS fwd_bps, nxt.ts AS fwd_ts FROM f""")
 def forward_return(spark, sf):
     out = panel.with_forward_return(kept_rows(spark, sf), KEY, 30, 20)
@@ -481,7 +482,7 @@ PANEL = f"""{LOGS}, scaled AS (
 ), kept AS (
   SELECT * FROM trail WHERE spread_bps > 0 AND spread_bps <= least(8.0, 1.2 * coalesce(med, 8.0)) AND gap_s <= 30 AND bid_shares >= 150 AND ask_shares >= 150
 ), ahead AS (
-  SELECT *, min({{'ts': ts, 'seq': seq, 'mid_x2': mid_x2}}) OVER (PARTITION BY symbol ORDER BY ts RANGE BETWEEN 30000000000 FOLLOWING AND 50000000000 FOLLOWING) AS nxt FROM kept
+  SELECT *, min({{'ts': ts, 'seq': seq, 'mid_x2': mid_x2}}) OVER (PARTITION BY date, symbol ORDER BY ts RANGE BETWEEN 30000000000 FOLLOWING AND 50000000000 FOLLOWING) AS nxt FROM kept
 ), scores AS (
   SELECT date, symbol, seq, {", ".join(f"round(CASE WHEN n_{c} >= 50 THEN CASE WHEN s_{c} > 0 THEN ({c} - m_{c}) / s_{c} ELSE 0 END END, 4) AS {c}" for c in panel.FEATURES)}, round(spread_bps, 4) AS spread_bps, round(ln(nxt.mid_x2 / mid_x2) * 10000, 4) AS fwd_bps FROM ahead
 )"""
@@ -495,7 +496,7 @@ def panel_rows(spark, sf):
 
 # Model and scores
 
-SCORED = f"""{Q}, scored AS (SELECT symbol, ts, seq, (buy_shares - 25) / 10.0 AS pred, ((spread * 7) % 1000 - 500) / 100.0 AS fwd_bps, spread / (mid_x2 / 2.0) * 10000.0 AS spread_bps, ((sell_shares * 37) % 100 - 50) / 10.0 AS ret_5 FROM two),
+SCORED = f"""{Q}, scored AS (SELECT date, symbol, ts, seq, (buy_shares - 25) / 10.0 AS pred, ((spread * 7) % 1000 - 500) / 100.0 AS fwd_bps, spread / (mid_x2 / 2.0) * 10000.0 AS spread_bps, ((sell_shares * 37) % 100 - 50) / 10.0 AS ret_5 FROM two),
 pos AS (SELECT *, sign(pred) AS sgn, sign(pred) * fwd_bps AS gross, 0.5 * spread_bps AS cost, sign(pred) * fwd_bps - CASE WHEN pred <> 0 THEN 0.5 * spread_bps ELSE 0 END AS net FROM scored)"""
 
 
@@ -536,7 +537,7 @@ def score_sharpe(spark, sf):
     return got.select("n", r6(F.col("sharpe_per_bar")).alias("sharpe_per_bar"), r6(F.col("sharpe_per_bar") * F.sqrt("n")).alias("sharpe_daily"))
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT avg(gross) AS mu FROM pos), e AS (SELECT symbol, ts, seq, gross - mu AS e FROM pos, m), l AS (SELECT e, {", ".join(f"lag(e, {k}) OVER (ORDER BY symbol, ts, seq) AS l{k}" for k in range(1, 11))} FROM e)
+@query(f"""WITH {SCORED}, m AS (SELECT avg(gross) AS mu FROM pos), e AS (SELECT date, symbol, ts, seq, gross - mu AS e FROM pos, m), l AS (SELECT e, {", ".join(f"lag(e, {k}) OVER (ORDER BY date, symbol, ts, seq) AS l{k}" for k in range(1, 11))} FROM e)
 SELECT CAST(count(*) AS BIGINT) AS n, round(sum(e * e), 4) AS gross_0, {", ".join(f"round(sum(e * l{k}), 4) AS gross_{k}" for k in range(1, 11))} FROM l""")
 def hac_terms(spark, sf):
     held = scoring.positions(scored(spark, sf))
@@ -574,8 +575,8 @@ def ridge_predict(spark, sf):
     return rows.select("symbol", "seq", r6(fitted.prediction()).alias("pred"))
 
 
-@query(f"""WITH {SCORED}, m AS (SELECT CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT symbol, '|' ORDER BY symbol) AS symbols, avg(fwd_bps) AS mean, stddev_pop(fwd_bps) AS sd FROM scored)
-SELECT n, symbols, substr(sha256(CAST(n AS VARCHAR) || '20200102' || symbols || printf('%.9f:%.9f', mean, sd)), 1, 16) AS fingerprint FROM m""")
+@query(f"""WITH {SCORED}, m AS (SELECT CAST(count(*) AS BIGINT) AS n, string_agg(DISTINCT symbol, '|' ORDER BY symbol) AS symbols, string_agg(DISTINCT date, '|' ORDER BY date) AS dates, avg(fwd_bps) AS mean, stddev_pop(fwd_bps) AS sd FROM scored)
+SELECT n, symbols, substr(sha256(CAST(n AS VARCHAR) || dates || symbols || printf('%.9f:%.9f', mean, sd)), 1, 16) AS fingerprint FROM m""")
 def training_fingerprint(spark, sf):
     return model.fingerprint_row(scored(spark, sf))
 
@@ -620,7 +621,7 @@ def model_asof(spark, sf):
 @query("""SELECT DISTINCT strftime(o_orderdate, '%Y%m%d') AS day FROM orders WHERE strftime(o_orderdate, '%Y%m%d') NOT IN (SELECT strftime(o_orderdate, '%Y%m%d') FROM orders WHERE o_orderstatus = 'P')""")
 def scored_anti(spark, sf):
     o = spark.read.parquet(f"{sf}/orders.parquet").select(F.date_format("o_orderdate", "yyyyMMdd").alias("day"), "o_orderstatus")
-    return o.select("day").distinct().join(o.where("o_orderstatus = 'P'").select("day").distinct(), "day", "left_anti")
+    return unscored(o.select("day"), o.where("o_orderstatus = 'P'").select(F.col("day").alias("date")))
 
 
 @query(f"""WITH {Q} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY spread DESC, seq) AS INT) AS place, seq, spread FROM two QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY spread DESC, seq) <= 6""")
@@ -643,7 +644,90 @@ def distinct_symbols(spark, sf):
 @query(f"""WITH {views.BASE_SQL}, b AS (SELECT CASE WHEN price4 < 64 THEN price4 ELSE ((CAST(floor(log2(price4)) AS BIGINT) - 6 + 1) * 64) + (price4 >> (CAST(floor(log2(price4)) AS BIGINT) - 6)) - 64 END AS bucket FROM base WHERE price4 > 0)
 SELECT CAST(bucket AS BIGINT) AS bucket, CAST(count(*) AS BIGINT) AS n FROM b GROUP BY 1""")
 def log_linear_histogram(spark, sf):
-    p = F.col("price4")
-    shift = (F.floor(F.log2(p.cast("double"))) - 6).cast("int")
-    bucket = F.when(p < 64, p).otherwise((shift + 1) * 64 + F.call_function("shiftright", p, shift) - 64)
-    return views.base(spark, sf).where("price4 > 0").groupBy(bucket.cast("bigint").alias("bucket")).agg(F.count("*").alias("n"))
+    return stats.histogram(views.base(spark, sf).where("price4 > 0"), "price4")
+
+
+@query(f"""WITH {views.BASE_SQL}, b AS (SELECT symbol, CASE WHEN price4 < 64 THEN price4 ELSE (CAST(floor(log2(price4)) AS BIGINT) - 6) * 64 + (price4 >> (CAST(floor(log2(price4)) AS BIGINT) - 6)) END AS bucket FROM base WHERE price4 >= 0),
+c AS (SELECT symbol, bucket, sum(count(*)) OVER (PARTITION BY symbol ORDER BY bucket) AS upto, sum(count(*)) OVER (PARTITION BY symbol) AS total FROM b GROUP BY symbol, bucket),
+s AS (SELECT symbol, share, min(bucket) AS bucket FROM c, (VALUES (0.1::DOUBLE), (0.5), (0.99), (1.0)) v(share) WHERE upto >= floor(share * total) GROUP BY symbol, share)
+SELECT symbol, share, CAST(CASE WHEN bucket < 64 THEN bucket ELSE (bucket % 64 + 64) << CAST(bucket // 64 - 1 AS INT) END AS BIGINT) AS value FROM s""")
+def histogram_percentiles(spark, sf):
+    counts = stats.histogram(views.base(spark, sf), "price4", ("symbol",))
+    return stats.percentiles(counts, [0.1, 0.5, 0.99, 1.0], ("symbol",))
+
+
+@query(f"""WITH {E}, u AS (SELECT *, price BETWEEN 1 AND 2147483647 AS sound, price % 30000 <> 0 AS off, lag(size) OVER (PARTITION BY symbol, side, price ORDER BY seq) AS was FROM depth WHERE kind = 'level')
+SELECT symbol, CAST(count(*) FILTER (WHERE sound) AS BIGINT) AS updates, CAST(count(*) FILTER (WHERE NOT sound) AS BIGINT) AS bad_price, CAST(count(*) FILTER (WHERE sound AND off AND size > 0) AS BIGINT) AS unrepresentable,
+CAST(count(*) FILTER (WHERE sound AND size = 0 AND (off OR coalesce(was, 0) = 0)) AS BIGINT) AS absent_clear FROM u GROUP BY symbol""")
+def l2_counters(spark, sf):
+    """What a level book counts of prices off its grid, prices that can't be, and clears of levels that aren't there."""
+    found = tape.symbol_summary(views.depth(spark, sf).withColumn("price", F.col("price")), BY, 30_000)
+    return found.select("symbol", "updates", "bad_price", "unrepresentable", "absent_clear")
+
+
+#: View R: in sixes an order, its replacement, an execution at another price, an order of the replacement's reference, a hidden trade and a replacement of nothing.
+REPLACED = f"""{views.BASE_SQL}, six AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY seq) - 1 AS nth FROM base),
+steps AS (SELECT symbol, nth, nth // 6 AS grp, nth % 6 AS step, CASE WHEN k % 2 = 0 THEN 'B' ELSE 'S' END AS side, k + 1 AS shares, price4 - price4 % {TICK} AS price, price4 AS exec_price, k % 3 <> 0 AS printable FROM six),
+groups_ AS (SELECT symbol, grp, max(side) FILTER (WHERE step = 0) AS side, max(shares) FILTER (WHERE step = 1) AS s1, max(price) FILTER (WHERE step = 1) AS p1, max(shares) FILTER (WHERE step = 2) AS s2,
+  max(side) FILTER (WHERE step = 3) AS side3, max(shares) FILTER (WHERE step = 3) AS s3, max(price) FILTER (WHERE step = 3) AS p3, max(side) FILTER (WHERE step = 0) AS side0, max(shares) FILTER (WHERE step = 0) AS s0, max(price) FILTER (WHERE step = 0) AS p0 FROM steps GROUP BY symbol, grp)"""
+
+
+def replaced(spark, sf) -> DataFrame:
+    k, nth = F.col("k"), F.col("nth")
+    b = views.base(spark, sf).withColumn("nth", (F.row_number().over(Window.partitionBy("symbol").orderBy("seq")) - 1).cast("bigint"))
+    step, first = nth % 6, nth - nth % 6
+    kind = F.element_at(F.array(*[F.lit(x) for x in "AUCFPU"]), (step + 1).cast("int"))
+    ref = F.when(step == 0, first).when(step == 1, first).when(step.isin(2, 3), first + 1).when(step == 5, -nth)
+    return b.select("symbol", nth.alias("seq"), "ts_ns", kind.alias("msg_type"), ref.alias("order_ref"), F.when(step == 1, first + 1).when(step == 5, nth).alias("new_order_ref"), F.when(k % 2 == 0, "B").otherwise("S").alias("side"),
+        (k + 1).alias("shares"), (F.col("price4") - F.col("price4") % TICK).alias("price"), F.col("price4").alias("exec_price"), (k % 3 != 0).alias("printable"))
+
+
+@query(f"""WITH {REPLACED}, left_ AS (SELECT symbol, side, p1 AS price, s1 - least(coalesce(s2, 0), s1) AS shares FROM groups_ WHERE s1 IS NOT NULL UNION ALL SELECT symbol, side3, p3, s3 FROM groups_ WHERE s3 IS NOT NULL
+  UNION ALL SELECT symbol, side0, p0, s0 FROM groups_ WHERE s1 IS NULL)
+SELECT symbol, side, price, CAST(sum(shares) AS BIGINT) AS shares, CAST(count(*) AS BIGINT) AS orders, CAST(row_number() OVER (PARTITION BY symbol, side ORDER BY CASE WHEN side = 'B' THEN -price ELSE price END) AS INT) AS level
+FROM left_ WHERE shares > 0 GROUP BY symbol, side, price""")
+def l3_replacements(spark, sf):
+    """Levels after replacements that inherit their side, executions at other prices and repeated references."""
+    return books.state_levels(books.order_book_states(replaced(spark, sf), BY, TICK), BY)
+
+
+@query(f"""WITH {REPLACED}, g AS (SELECT symbol, CAST(count(s0) + count(s3) AS BIGINT) AS adds, CAST(count(s1) AS BIGINT) AS replaces, CAST(count(s2) AS BIGINT) AS executes, CAST(count(*) FILTER (WHERE s2 > s1) AS BIGINT) AS overfill, CAST(count(*) FILTER (WHERE s3 IS NOT NULL AND s2 < s1) AS BIGINT) AS duplicate_order_refs FROM groups_ GROUP BY symbol),
+t AS (SELECT symbol, CAST(count(*) FILTER (WHERE step = 5) AS BIGINT) AS unknown_ref_replace, CAST(count(*) FILTER (WHERE step = 4 OR step = 2 AND printable) AS BIGINT) AS trades, CAST(coalesce(sum(shares) FILTER (WHERE step = 4 OR step = 2 AND printable), 0) AS BIGINT) AS shares_traded,
+  CAST(count(*) FILTER (WHERE step = 4) AS BIGINT) AS hidden_trades, CAST(coalesce(sum(shares) FILTER (WHERE step = 4), 0) AS BIGINT) AS hidden_shares, CAST(coalesce(sum(CASE WHEN step = 4 THEN price * shares // 10000 WHEN step = 2 AND printable THEN exec_price * shares // 10000 END), 0) AS BIGINT) AS notional_dollars FROM steps GROUP BY symbol)
+SELECT * FROM g JOIN t USING (symbol)""")
+def l3_replacement_counts(spark, sf):
+    """The counters and the tape of the same feed, from the events of the book."""
+    e = books.order_book_events(replaced(spark, sf), BY, TICK)
+    noted = books.diagnostics(e, BY).select("symbol", "adds", "replaces", "executes", "overfill", "duplicate_order_refs", "unknown_ref_replace")
+    return noted.join(books.tape(e, BY).select("symbol", "trades", "shares_traded", "hidden_trades", "hidden_shares", "notional_dollars"), "symbol")
+
+
+@query(f"""WITH {Q}, f AS (SELECT spread / 100.0 AS x, CAST(trades AS DOUBLE) AS y, ((spread * 7) % 1000 - 500) / 100.0 AS t FROM two),
+m AS (SELECT CAST(count(*) AS BIGINT) AS n, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, avg(t) AS mt, stddev_pop(t) AS st, count(*) * corr(x, y) AS g, count(*) * corr(x, t) AS cx, count(*) * corr(y, t) AS cy, count(*) + 50 AS d FROM f)
+SELECT n, round(mx, 6) AS mean_x, round(sx, 6) AS std_x, round(my, 6) AS mean_y, round(sy, 6) AS std_y, round(st, 6) AS target_std, round(mt / st, 6) AS intercept, round((d * cx - g * cy) / (d * d - g * g), 6) AS beta_x, round((d * cy - g * cx) / (d * d - g * g), 6) AS beta_y FROM m""")
+def ridge_fit(spark, sf):
+    """A whole fit: moments, scales, coefficients and intercept, with all but two features constant."""
+    names = {"queue_imbalance": "x", "trade_intensity": "y"}
+    t = two(spark, sf).select("date", "symbol", (F.col("spread") / 100.0).alias("queue_imbalance"), F.col("trades").cast("double").alias("trade_intensity"), (((F.col("spread") * 7) % 1000 - 500) / 100.0).alias("fwd_bps"))
+    fitted = model.fit(t.withColumns({c: F.lit(0.0) for c in panel.FEATURES if c not in names}))
+    out = {"n": fitted.n_train_rows, "target_std": fitted.target_std, "intercept": fitted.intercept}
+    for c, short in names.items():
+        i = panel.FEATURES.index(c)
+        out |= {f"mean_{short}": fitted.feature_mean[i], f"std_{short}": fitted.feature_std[i], f"beta_{short}": fitted.coefficients[i]}
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(c) if c == "n" else r6(F.lit(float(v))).alias(c) for c, v in out.items()])
+
+
+HAC = ", ".join(f"lag(gross - mg, {k}) OVER o AS g{k}, lag(net - mn, {k}) OVER o AS n{k}" for k in range(1, 11))
+HAC_SUM = {c: " + ".join(f"(1 - {k} / 11.0) * 2 * sum(e{c} * {c}{k})" for k in range(1, 11)) for c in "gn"}
+
+
+@query(f"""WITH {SCORED}, ranks AS {RANKS}, m AS (SELECT avg(gross) AS mg, avg(net) AS mn FROM pos), e AS (SELECT gross - mg AS eg, net - mn AS en, {HAC} FROM pos, m WINDOW o AS (ORDER BY date, symbol, ts, seq)),
+t AS (SELECT (SELECT mg FROM m) / sqrt((sum(eg * eg) + {HAC_SUM["g"]}) / count(*) / count(*)) AS gross_t, (SELECT mn FROM m) / sqrt((sum(en * en) + {HAC_SUM["n"]}) / count(*) / count(*)) AS net_t FROM e),
+r AS (SELECT corr(pred, fwd_bps) AS ic_pearson, corr(rp, ry) AS ic_spearman, corr(rr, ry) AS baseline_reversal_ic FROM ranks),
+s AS (SELECT CAST(count(*) AS BIGINT) AS n, avg(CASE WHEN sgn <> 0 AND fwd_bps <> 0 THEN CAST(sign(fwd_bps) = sgn AS DOUBLE) END) AS hit_rate, avg(CASE WHEN sgn <> 0 THEN CAST(fwd_bps <> 0 AS DOUBLE) END) AS moved_fraction, avg(gross) AS gross_bps, avg(net) AS net_bps,
+  avg(net) / stddev_pop(net) AS sharpe_per_bar, avg(net) / stddev_pop(net) * sqrt(count(*)) AS sharpe_daily, avg(spread_bps) AS mean_spread_bps, avg(CAST(abs(pred) > cost AS DOUBLE)) AS tradeable_fraction FROM pos)
+SELECT n, {", ".join(f"round({c}, 5) AS {c}" for c in ("ic_pearson", "ic_spearman", "hit_rate", "moved_fraction", "gross_bps", "net_bps", "gross_t", "net_t", "sharpe_per_bar", "sharpe_daily", "mean_spread_bps", "tradeable_fraction", "baseline_reversal_ic"))} FROM s, r, t""")
+def scorecard(spark, sf):
+    """The whole scorecard, t values with Bartlett weights over all rows among it."""
+    card = scoring.score(scored(spark, sf)).as_dict()
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(c) if c == "n" else F.round(F.lit(float(v)), 5).alias(c) for c, v in card.items() if c != "baseline_zero_bps"])

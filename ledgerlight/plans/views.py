@@ -74,18 +74,18 @@ TOPS_SQL = f"""{DEPTH_SQL}, updates AS (
 
 
 def quotes(spark: SparkSession, sf: str) -> DataFrame:
-    """View Q: a feature table with date, symbol and seq; event time is divided by an hour, so that bars are seconds apart."""
+    """View Q: a feature table of two days with date, symbol and seq; event time is divided by an hour, so that bars are seconds apart."""
     b, k = base(spark, sf), F.col("k")
     ts = F.call_function("div", F.col("ts_ns"), F.lit(HOUR))
     return b.select(
-        F.lit("20200102").alias("date"), "symbol", "seq", ts.alias("ts_ns"), (1_000_000 + F.col("price4") % 20000 - 50 - (k % 7) * 100).alias("bid"), (k * 10 + 100).alias("bid_shares"),
+        F.when(F.col("seq") % 1000 < 500, "20200102").otherwise("20200103").alias("date"), "symbol", "seq", ts.alias("ts_ns"), (1_000_000 + F.col("price4") % 20000 - 50 - (k % 7) * 100).alias("bid"), (k * 10 + 100).alias("bid_shares"),
         (1_000_000 + F.col("price4") % 20000 + 50 + (k % 5) * 100).alias("ask"), (1100 - k * 10).alias("ask_shares"), (k * 30 + 300).alias("bid_depth"), (3300 - k * 20).alias("ask_depth"),
         (k % 6).alias("trades"), (k * 3).alias("trade_shares"), ((k * 7) % 50).alias("buy_shares"), ((k * 11) % 40).alias("sell_shares"), (k * 100).alias("notional_cents"),
     )
 
 
 QUOTES_SQL = f"""{BASE_SQL}, quotes AS (
-  SELECT '20200102' AS date, symbol, seq, ts_ns // {HOUR} AS ts_ns, 1000000 + price4 % 20000 - 50 - (k % 7) * 100 AS bid, k * 10 + 100 AS bid_shares,
+  SELECT CASE WHEN seq % 1000 < 500 THEN '20200102' ELSE '20200103' END AS date, symbol, seq, ts_ns // {HOUR} AS ts_ns, 1000000 + price4 % 20000 - 50 - (k % 7) * 100 AS bid, k * 10 + 100 AS bid_shares,
     1000000 + price4 % 20000 + 50 + (k % 5) * 100 AS ask, 1100 - k * 10 AS ask_shares, k * 30 + 300 AS bid_depth, 3300 - k * 20 AS ask_depth,
     k % 6 AS trades, k * 3 AS trade_shares, (k * 7) % 50 AS buy_shares, (k * 11) % 40 AS sell_shares, k * 100 AS notional_cents
   FROM base

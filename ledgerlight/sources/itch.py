@@ -191,7 +191,7 @@ def parse_stats(messages: DataFrame) -> DataFrame:
 def encode(kind: str, values: dict[str, Column], prefix: bool = True) -> Column:
     """A message of ``kind`` as bytes: ``locate``, ``ts_ns`` and the type's fields; what isn't given is zero or blank."""
     parts, at = [F.lit(kind).cast("binary"), put_big(values.get("locate", F.lit(0)), 2), put_big(values.get("tracking", F.lit(0)), 2), put_big(values.get("ts_ns", F.lit(0)), 6)], 11
-    for name, how, offset, width in FIELDS[kind]:
+    for name, how, offset, width in FIELDS.get(kind, ()):  # of some kinds only the header is read
         if offset > at:
             parts.append(F.lit(b" " * (offset - at)))
         if how == "u":
