@@ -271,13 +271,23 @@ def resolved(messages: DataFrame, symbols: list[str], force: dict[str, int] | No
     return messages.withColumn("symbol", F.last(F.when(F.col("msg_type") == "R", F.col("stock")), True).over(order)).where(keep)
 
 
+def placed(rows: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Add ``nth``, the place by seq from 1: the sizes of blocks of seq are added up, and rows are numbered within their block."""
+    cut = rows.withColumn("_block", F.call_function("div", F.col("seq"), F.lit(block)))
+    sizes = cut.groupBy("_block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_block").orderBy("seq"))
+    return cut.withColumn("_in", inside).join(starts, "_block").withColumn("nth", F.col("_start") + F.col("_in")).drop("_block", "_in", "_start")
+
+
 def verify(events: DataFrame, truth: DataFrame) -> DataFrame:
     """Compare events with the truth by position: a row for each place that differs, with ``reason``.
 
     events and truth: seq order gives the place; msg_type, ts_ns, bid, bid_shares, ask, ask_shares with 0 for none.
     """
     shown = ["msg_type", "ts_ns", "bid", "bid_shares", "ask", "ask_shares"]
-    nth = F.row_number().over(Window.orderBy("seq"))
+    events, truth, nth = placed(events.select("seq", *shown)), placed(truth.select("seq", *shown)), F.col("nth")
     got = events.select(nth.alias("nth"), F.struct(*[F.coalesce(F.col(c), F.lit(0)).alias(c) if c[:3] in ("bid", "ask") else F.col(c) for c in shown]).alias("got"))
     want = truth.select(nth.alias("nth"), F.struct(*shown).alias("want"))
     both = got.join(want, "nth", "full_outer")

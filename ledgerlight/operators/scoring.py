@@ -48,17 +48,30 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
+#: Parts of an octave into which values are dealt for ranking.
+PARTS = 1024
+
+
+def octave(value: Column) -> Column:
+    """A whole number that grows with a finite value: its sign, and the part of the octave that its size is in."""
+    size = F.floor(F.log2(F.abs(value)) * PARTS) + 2048 * PARTS
+    return F.when(value == 0, F.lit(0)).otherwise(F.signum(value).cast("bigint") * size).cast("bigint")
+
+
 def average_ranks(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Add r_<column>: ranks from 1, ties sharing their mean.
+    """Add r_<column>: ranks from 1 of finite values, ties sharing their mean.
 
-    Distinct values are counted and the counts added up in order of the value, so that the one global window
-    sees a row for each distinct value, not for each row.
+    Distinct values are counted and dealt by parts of octaves. The counts of the parts, some thousands, are added up in order;
+    within a part the values are. No window holds all rows or all values.
     """
     for c in columns:
-        counts = rows.groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_k"))
-        upto = F.sum("_k").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.select("_v", (upto - (F.col("_k") - 1) / 2.0).alias(f"r_{c}"))
-        rows = rows.join(ranks, F.col(c).eqNullSafe(F.col("_v"))).drop("_v")
+        counts = rows.groupBy(F.col(c).cast("double").alias("_v")).agg(F.count("*").alias("_k")).withColumn("_part", octave(F.col("_v")))
+        sums = counts.groupBy("_part").agg(F.sum("_k").alias("_n"))
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        inside = F.sum("_k").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+        ranks = counts.join(starts, "_part").select("_v", (F.col("_start") + inside - (F.col("_k") - 1) / 2.0).alias(f"r_{c}"))
+        rows = rows.join(ranks, F.col(c).cast("double").eqNullSafe(F.col("_v"))).drop("_v")
     return rows
 
 
@@ -99,35 +112,37 @@ def summary(held: DataFrame) -> DataFrame:
 def lag_products(held: DataFrame, columns: list[str], lags: int, order: list[str], within: list[str] | None = None) -> DataFrame:
     """For each column: its mean, the sum of squared deviations (<column>_0) and of products with those 1 to ``lags`` rows before.
 
-    The lags run over all rows in ``order`` and so go over from one symbol to the next; ``within`` keeps them inside keys. All rows
-    are numbered first and then dealt by blocks, each with the ``lags`` rows before it, so that no window holds them all.
+    The lags run over all rows in ``order``, whose first names but the last two are keys, and so go over from one key to the next;
+    ``within`` keeps them inside keys of its own. Products inside a key come from a window over the key; those across come from
+    the first and last ``lags`` rows of each key, numbered by the keys' sizes and dealt by blocks. Rows are exchanged once.
     """
     means = held.agg(*[F.avg(c).alias(f"m_{c}") for c in columns])
-    held = held.select(*dict.fromkeys([*order, *(within or [])]), *columns)
-    if within:
-        keys, rows = within, held
-    else:
-        block = 1 << 14
-        at, tail = F.call_function("div", F.col("_nth"), F.lit(block)), F.pmod(F.col("_nth"), F.lit(block)) >= block - lags
-        own, next_ = F.struct(at.alias("_block"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_block"), F.lit(False).alias("_own"))
-        dealt = numbered(held, order).withColumn("_to", F.explode(F.when(tail, F.array(own, next_)).otherwise(F.array(own))))
-        keys, rows, order = ["_block"], dealt.select("*", "_to.*").drop("_to"), ["_nth"]
-    rows = rows.crossJoin(F.broadcast(means))
-    for c in columns:
-        rows = rows.withColumn(f"e_{c}", F.col(c) - F.col(f"m_{c}"))
-    w = Window.partitionBy(*keys).orderBy(*order)
+    keys = within or order[:-2]
+    rest = order if within else order[-2:]
+    rows = held.select(*dict.fromkeys([*keys, *rest]), *columns).crossJoin(F.broadcast(means))
+    rows = rows.withColumns({f"e_{c}": F.col(c) - F.col(f"m_{c}") for c in columns})
+    w = Window.partitionBy(*keys).orderBy(*rest)
     made = {f"{c}_{k}": F.col(f"e_{c}") * (F.lag(f"e_{c}", k).over(w) if k else F.col(f"e_{c}")) for c in columns for k in range(lags + 1)}
-    rows = rows.withColumns(made)
-    rows = rows.where("_own") if not within else rows
-    return rows.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in made])
-
-
-def numbered(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Add _nth, from 0, in ``order``: a range exchange, counts of the parts, and a number within each part."""
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_in", F.monotonically_increasing_id())
-    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_in").alias("_from"))
-    starts = counts.select("_part", "_from", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    return dealt.join(F.broadcast(starts), "_part").withColumn("_nth", F.col("_start") + F.col("_in") - F.col("_from")).drop("_part", "_in", "_from", "_start")
+    inside = rows.withColumns(made).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in made])
+    if within or not keys:
+        return inside
+    placed = rows.withColumns({"_at": F.row_number().over(w) - 1, "_n": F.count("*").over(Window.partitionBy(*keys))})
+    sizes = held.groupBy(*keys).agg(F.count("*").alias("_size"))  # a row for each key, as small as a directory
+    in_order = Window.orderBy(*keys)
+    starts = sizes.select(*keys, F.row_number().over(in_order).alias("_key"), (F.sum("_size").over(in_order) - F.col("_size")).alias("_start"))
+    edge = placed.where((F.col("_at") < lags) | (F.col("_at") >= F.col("_n") - lags)).join(starts, keys).withColumn("_nth", F.col("_start") + F.col("_at"))
+    block = 1 << 14
+    at, tail = F.call_function("div", F.col("_nth"), F.lit(block)), F.pmod(F.col("_nth"), F.lit(block)) >= block - lags
+    own, next_ = F.struct(at.alias("_block"), F.lit(True).alias("_own")), F.struct((at + 1).alias("_block"), F.lit(False).alias("_own"))
+    dealt = edge.select("_key", "_nth", *[f"e_{c}" for c in columns], F.explode(F.when(tail, F.array(own, next_)).otherwise(F.array(own))).alias("_to")).select("*", "_to.*")
+    b = Window.partitionBy("_block").orderBy("_nth")
+    across = {}
+    for k in range(1, lags + 1):
+        other = (F.lag("_key", k).over(b) != F.col("_key")) & (F.lag("_nth", k).over(b) == F.col("_nth") - k)
+        across |= {f"x_{c}_{k}": F.when(other, F.col(f"e_{c}") * F.lag(f"e_{c}", k).over(b)) for c in columns}
+    between = dealt.withColumns(across).where("_own").agg(*[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in across])
+    both = inside.crossJoin(F.broadcast(between))
+    return both.withColumns({name[2:]: F.col(name[2:]) + F.col(name) for name in across}).drop(*across)
 
 
 def score(panel: DataFrame, horizon_s: int = 10, cost_multiplier: float = 0.5, order: tuple[str, ...] = ("date", "symbol", "ts", "seq")) -> Scorecard:
