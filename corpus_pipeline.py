@@ -44,7 +44,7 @@ STAGES = [
     ("mixing sources", mixing_stage),
     ("packing", packing_stage),
 ]
-#: SQL can't express the classifier, the mix or the plan of the windows; tests hold each stage against a plainer version.
+#: SQL can't express the classifier, the mix or the plan of the windows; tests hold each stage against its operator, and the operators against plainer versions of their parts.
 ORACLE_SQL = None
 
 
