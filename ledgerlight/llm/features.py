@@ -48,7 +48,7 @@ class Words(dict):
         self.hashes[0, n], self.hashes[1, n] = crc32(raw.lower()), crc32(shape(word).encode(), 7)
         if self.heads:
             small = word.lower()
-            self.hashes[2:, n] = [crc32(small[:k].encode(), k) if len(small) > k else 0 for k in self.heads]
+            self.hashes[2:, n] = [crc32(small[:k].encode() + bytes((255, k))) if len(small) > k else 0 for k in self.heads]  # 255 is in no word
         self[raw] = n
         return n
 
