@@ -97,3 +97,52 @@ def test_ordered_grades():
     margin = np.array([model.linear.weights[a].sum() for a in at])
     expected = sum(1 / (1 + np.exp(t - margin)) for t in model.thresholds)
     assert np.corrcoef(expected, y)[0, 1] > 0.9
+
+
+def test_weights_and_thresholds_are_at_the_optimum():
+    rng = np.random.default_rng(8)
+    y = np.concatenate((np.arange(4), rng.integers(0, 4, 196)))
+    rows = [np.unique(np.append(rng.integers(0, 12, 3), k)) for k in y]
+    data = toxicity.Graded(y, rows, 12, 3)
+    at = toxicity.optimum(data, 0.5)
+
+    def loss(params):
+        total = 0.25 * (params[:12] ** 2).sum()
+        for k, row in zip(y, rows):
+            chance = np.concatenate(([0], 1 / (1 + np.exp(params[row].sum() - params[12:])), [1]))
+            total -= np.log(chance[k + 1] - chance[k])
+        return total
+
+    best = loss(at)
+    assert abs(data.loss(at) + 0.25 * (at[:12] ** 2).sum() - best) < 1e-9 and (np.diff(at[12:]) > 0).all()
+    for i in range(len(at)):
+        for far in (-1e-3, 1e-3):
+            assert loss(at + far * np.eye(len(at))[i]) > best
+
+
+def test_grades_that_no_row_has():
+    x = [np.array([1, 2 + k % 2], np.uint32) for k in range(40)]
+    y = np.array([1 if k % 2 else 3 for k in range(40)])
+    model = toxicity.fit(y, x, most=10)
+    low, mid, high = model.thresholds
+    assert low < -50 and mid == high and len(model.linear.features) == 3
+
+
+def test_the_number_of_features_is_that_of_the_likeliest_left_out_rows(monkeypatch):
+    monkeypatch.setattr(toxicity, "CHOICES", (2, 40, 300))
+    rng = np.random.default_rng(3)
+    y = np.arange(120) % 2
+    rows = [np.unique(np.concatenate((rng.choice(30, 6) + 30 * k, rng.integers(60, 300, 20)))) for k in y]
+    size, loss = 300, []
+    for most in toxicity.CHOICES:
+        total = 0.0
+        for part in range(5):
+            out = np.arange(120) // 2 % 5 == part
+            kept, place = toxicity.fewer([r for r, o in zip(rows, out) if not o], y[~out], size, most)
+            at = toxicity.optimum(toxicity.Graded(y[~out], toxicity.renamed([r for r, o in zip(rows, out) if not o], place), len(kept), 1), 0.3)
+            for k, row in zip(y[out], [r for r, o in zip(rows, out) if o]):
+                p = 1 / (1 + np.exp(at[-1] - sum(at[place[f]] for f in row if place[f] >= 0)))
+                total -= np.log(p if k else 1 - p)
+        loss.append(total)
+    assert toxicity.chosen(y, rows, size, 1, 0.3) == toxicity.CHOICES[int(np.argmin(loss))] == 40
+    assert toxicity.chosen(y[:8], rows[:8], size, 1, 0.3) == 300  # four rows of a grade choose nothing
